@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaique.llm import embedding_dedup, packing, simhash
+from mosaique.llm import embedding_dedup, line_dedup, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,30 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i AS pos, parts[i] AS line,
+         translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+       LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)
+), common AS (
+  SELECT k, max(doc_id) AS largest FROM lines WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line, c.k IS NOT NULL AND l.doc_id <> c.largest AS gone
+  FROM lines l LEFT JOIN common c ON l.k = c.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +52,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_embedding_dedup,
+            op4_line_dedup,
             op8_packing,
             op9_simhash,
         )
@@ -35,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
