@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mosaique.llm import embedding_dedup, line_dedup, packing, simhash
+from mosaique.llm import embedding_dedup, line_dedup, packing, simhash, toxicity
+from mosaique.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +17,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def _predicted(scored: DataFrame, out: Column, at: float) -> DataFrame:
+    return scored.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted")
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), out)
+    return _predicted(toxicity.score(docs, model), out, 0.5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +66,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_embedding_dedup,
+            op2_toxicity,
             op4_line_dedup,
             op8_packing,
             op9_simhash,
