@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaique.llm import embedding_dedup, line_dedup, packing, simhash, toxicity
+from mosaique.llm import embedding_dedup, line_dedup, packing, quality, simhash, toxicity
 from mosaique.llm.common import held_out
 
 
@@ -29,6 +29,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, model), out, 0.5)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), out)
+    return _predicted(quality.score(docs, model), out, 0.7)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def queries() -> dict:
         for f in (
             op1_embedding_dedup,
             op2_toxicity,
+            op3_quality,
             op4_line_dedup,
             op8_packing,
             op9_simhash,

@@ -300,19 +300,24 @@ def fit(docs: DataFrame, labels: DataFrame, out: Column, sample: int = 12_000) -
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, passages): passages are the significant segments (score, first, last + 1), in tokens."""
+def scorer(model: Model) -> Column:
+    """A column of (score, passages) of the column ``text``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    Passages are the significant segments (score, start, stop), in tokens.
+    """
+
+    @F.pandas_udf("score double, passages array<struct<score: double, start: long, stop: long>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
             rows = []
-            for text in pdf["text"]:
+            for text in part:
                 tail, total, _, good = model.measure(text)
                 rows.append((model.score(tail, total), [dict(zip(("score", "start", "stop"), g)) for g in good]))
-            yield pd.DataFrame(rows, columns=["score", "passages"]).assign(doc_id=pdf["doc_id"])
+            yield pd.DataFrame(rows, columns=["score", "passages"])
 
-    return (
-        docs.select(F.col("doc_id").cast("string"), "text")
-        .mapInPandas(run, "score double, passages array<struct<score: double, start: long, stop: long>>, doc_id string")
-        .select(F.col("doc_id").cast("long"), "score", "passages")
-    )
+    return run("text")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, passages) of every row."""
+    return docs.select("doc_id", scorer(model).alias("_found")).select("doc_id", "_found.*")
