@@ -18,7 +18,8 @@ in one task.
 Rows: a null or empty text is one empty line. A repeated doc_id counts as one
 document, and each of its rows is judged by itself. A null doc_id counts as one
 document that is never the largest unless it is the only one. An empty table
-gives an empty result. Other columns are ignored by :func:`drop_lines`.
+gives an empty result. Other columns pass
+:func:`drop_lines` unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Hashes that are dealt by document too, and the rows the sketch keeps.
 HOT_KEYS, SKETCH_ROWS = 64, 4096
 
@@ -110,37 +110,49 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     )
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text (kept lines joined by \\n), n_lines, n_dropped."""
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    found = dropped_lines(own, min_chars, min_docs).select(
+def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column]:
+    """(rows as a struct ``d`` with ``words``, the kept text, the number of dropped lines)."""
+    text = F.col("d.text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    found = dropped_lines(docs, min_chars, min_docs).select(
         F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "words"
     )
-    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
-    lines = lines_of(F.col("text"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_row"))
+    joined = own.join(found, same, "left")
 
-    def keep(line: Column, pos: Column) -> Column:
+    def keep(_line: Column, pos: Column) -> Column:
         bits = F.try_element_at(F.col("words"), F.shiftright(pos, 6))
         return F.coalesce(F.getbit(bits, F.pmod(pos, F.lit(64))) == 0, F.lit(True))
 
-    kept = F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, keep), "\n")
-    )
+    kept = F.when(F.col("words").isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), keep), "\n"))
     n_dropped = F.when(F.col("words").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate(F.map_values("words"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
     )
-    return joined.select(
-        "doc_id",
-        kept.alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        n_dropped.alias("n_dropped"),
-    )
+    return joined, kept, n_dropped
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with ``text`` less its dropped lines; ``n_chars``, where there is one, follows a text that changed."""
+    joined, kept, _ = _judged(docs, min_chars, min_docs)
+    columns = []
+    for c in docs.columns:
+        old = F.col("d").getField(c)
+        if c == "text":
+            new = kept
+        elif c == "n_chars":
+            new = F.when(F.col("words").isNull(), old).otherwise(F.length(kept)).cast(docs.schema[c].dataType)
+        else:
+            new = old
+        columns.append(new.alias(c))
+    return joined.select(*columns)
 
 
 def digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256."""
-    return drop_lines(docs, min_chars, min_docs).select(
-        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    joined, kept, n_dropped = _judged(docs.select("doc_id", "text"), min_chars, min_docs)
+    return joined.select(
+        F.col("d.doc_id").alias("doc_id"),
+        F.size(lines_of(F.col("d.text"))).cast("long").alias("n_lines"),
+        n_dropped.alias("n_dropped"),
+        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
     )
-
-

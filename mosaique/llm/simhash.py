@@ -134,3 +134,11 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, blocks: int = 4, width: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest doc_id; rows without a doc_id stay."""
+    found = near_duplicates(docs, distance, blocks, width, seed)
+    stays = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("_stays")).distinct()
+    named = docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(docs["doc_id"].isNull()))
