@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaique.llm import chat_tree, embedding_dedup, line_dedup, packing, quality, simhash, toxicity
+from mosaique.llm import chat_tree, embedding_dedup, line_dedup, media, packing, quality, simhash, toxicity
 from mosaique.llm.common import held_out
 
 
@@ -68,6 +68,10 @@ def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digest(turns.unionByName(probe))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def queries() -> dict:
             op3_quality,
             op4_line_dedup,
             op5_chat_tree,
+            op6_media,
             op8_packing,
             op9_simhash,
         )
