@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaique.llm import chat_tree, embedding_dedup, line_dedup, media, packing, quality, simhash, toxicity
+from mosaique.llm import chat_tree, embedding_dedup, line_dedup, media, packing, quality, simhash, toxicity, url_templates
 from mosaique.llm.common import held_out
 
 
@@ -72,6 +72,13 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(_table(spark, sf_dir, "documents"))
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +97,7 @@ def queries() -> dict:
             op4_line_dedup,
             op5_chat_tree,
             op6_media,
+            op7_url_templates,
             op8_packing,
             op9_simhash,
         )
