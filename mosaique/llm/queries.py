@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaique.llm import chat_tree, embedding_dedup, line_dedup, media, packing, quality, simhash, toxicity, url_templates
+from mosaique.llm import chat_tree, embedding_dedup, line_dedup, media, packing, piece_lattice, quality, simhash, toxicity, url_templates
 from mosaique.llm.common import held_out
 
 
@@ -87,6 +87,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -100,6 +104,7 @@ def queries() -> dict:
             op7_url_templates,
             op8_packing,
             op9_simhash,
+            op10_piece_lattice,
         )
     }
 
