@@ -26,12 +26,10 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while len(a):
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
         label = new
         keep = label[a] != label[b]
         a, b = a[keep], b[keep]
