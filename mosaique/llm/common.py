@@ -1,108 +1,29 @@
 """Helpers shared by the corpus operators.
 
-* :func:`cut` writes a frame to the folder all executors share and reads it
-  back, so later jobs neither recompute it nor depend on any one executor.
-* :func:`components` labels connected components by alternating large-star and
-  small-star rounds (Kiveris et al., 2014).
-* :func:`bucket_units` and :func:`unit_frames` turn buckets of any size into
-  units of bounded size, so that all pairs of a bucket are compared without a
-  task ever holding a whole hot bucket.
+:func:`bucket_units` and :func:`in_units` turn buckets of any size into units of
+bounded size, so that all pairs of a bucket are compared without a task ever
+holding a whole hot bucket. Shared files and components of links come from
+:mod:`mosaique.operators.graph`.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one block of a bucket; a unit holds two blocks at most.
-BLOCK = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="mosaique-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path  # type: ignore[attr-defined]
-    return out
-
+from mosaique.operators.graph import components, cut, drop_cut, shared_dir
+from mosaique.operators.kernel import components as labels_of
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`cut` that nothing will read again."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = [
+    "BLOCK", "bucket_units", "components", "cut", "drop_cut", "held_out", "in_units", "labelled_sample", "labels_of", "shared_dir",
+]
 
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (u long, v long): one row (node, root) per node of an edge.
-
-    ``root`` is the smallest node of the component. Self-loops, repeated edges and
-    edges in either direction are allowed. Each round only aggregates and
-    equi-joins; Spark may split the partition of a hub in the joins.
-    """
-    u, v = F.col("u"), F.col("v")
-    now = cut(
-        edges.where(u != v)
-        .select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-        .distinct()
-    )
-    seen = _signature(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .where(v > u)
-            .select(v.alias("u"), F.least(u, F.col("m")).alias("v"))
-            .distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(
-                F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")
-            )
-            .distinct()
-        )
-        new = cut(small)
-        drop_cut(now)
-        now, before = new, seen
-        seen = _signature(now)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(u.alias("node"), v.alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    row = edges.agg(
-        F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))
-    ).first()
-    return tuple(row)
+#: Rows of one block of a bucket; a unit holds two blocks at most.
+BLOCK = 1024
 
 
 def bucket_units(rows: DataFrame, keys: list[str], node: str, block: int = BLOCK) -> DataFrame:
@@ -165,30 +86,12 @@ def in_units(units: DataFrame, keys: list[str], work: Callable, schema: str) ->
     )
 
 
-def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` nodes over the undirected edges ``a``-``b``."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-    return label
-
-
-def held_out(doc_id: str, parts: int, part: int):
+def held_out(doc_id: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` when divided by ``parts``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts == part
 
 
-def labelled_sample(labels: DataFrame, target: str, out: "F.Column", limit: int) -> DataFrame:
+def labelled_sample(labels: DataFrame, target: str, out: Column, limit: int) -> DataFrame:
     """At most ``limit`` labelled ids (doc_id, y), held-out ones left out, in the order of a hash of the id.
 
     A repeated id takes its largest label; null ids and labels are left out.
