@@ -62,16 +62,16 @@ def candidates(
     ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, at_sentence: float, inside: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, 0 and its end among them, and what a cut there costs."""
-    soft = np.flatnonzero(ends[ids]) + 1
-    marks = np.unique(np.concatenate(([0, len(ids)], soft, doc_ends)))
-    gaps = np.diff(marks)
-    wide = np.flatnonzero(gaps > 2 * STRIDE)
-    hard = [np.arange(marks[i] + STRIDE, marks[i + 1], STRIDE) for i in wide]
-    pos = np.unique(np.concatenate((marks, *hard))) if hard else marks
-    penalty = np.full(len(pos), inside, float)
-    penalty[np.searchsorted(pos, soft)] = at_sentence
-    penalty[np.searchsorted(pos, doc_ends)] = 0
-    penalty[0] = penalty[-1] = 0
+    n = len(ids)
+    soft, hard, doc = (np.zeros(n + 1, bool) for _ in range(3))
+    soft[1:] = ends[ids]
+    doc[doc_ends] = True
+    doc[[0, n]] = True
+    marks = np.flatnonzero(soft | doc)
+    for i in np.flatnonzero(np.diff(marks) > 2 * STRIDE).tolist():
+        hard[marks[i] + STRIDE : marks[i + 1] : STRIDE] = True
+    pos = np.flatnonzero(soft | doc | hard)
+    penalty = np.where(doc[pos], 0.0, np.where(soft[pos], at_sentence, inside))
     return pos, penalty
 
 
@@ -135,10 +135,12 @@ def pack(
         bpe = shared(tokenizer_path)
         first = TaskContext.get().partitionId() << 40
         packer = Packer(bpe.sentence_ends(), size, at_sentence, inside, first)
+        end = np.array([end_id], "<u4")
         rows: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += packer.add(doc_id, np.append(bpe.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4", copy=False))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.chunks(texts)):
+                rows += packer.add(doc_id, np.append(ids, end))
             if rows:
                 yield _batch(rows)
                 rows = []
