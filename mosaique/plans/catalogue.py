@@ -7,12 +7,12 @@ against a second implementation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaique.functions import geo
 from mosaique.functions.stats import MISSING
 from mosaique.operators import cluster as km
 from mosaique.operators import neighbours as nb
@@ -20,7 +20,9 @@ from mosaique.operators import rat as tables
 from mosaique.operators import segmentation as sg
 from mosaique.operators import spatial, subset, tiling, zonal
 from mosaique.operators.zonal import Stat
+from mosaique.operators.graph import shared_dir
 from mosaique.sources import raster
+from mosaique.streaming.completion import completed_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -616,9 +618,31 @@ def variogram_udf(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spatial.spatial_stats(_zones(spark, d), columns, "variogram", 3), variogram1=2, variogram2=2, variogram3=2)
 
 
-@query(f"""WITH {RASTER} SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h
-FROM (VALUES (2, 1, 5, 4)) t(x, y, w, h)""")
-def map_window(spark: SparkSession, d: str) -> DataFrame:
-    gt = [500.0, 10.0, 0.0, 900.0, 0.0, -10.0]
-    found = geo.box_window(gt, WIDTH, 100, 525.0, 885.0, 565.0, 855.0)
-    return spark.createDataFrame([found], "x int, y int, w int, h int")
+@query("SELECT s_suppkey + 1 AS seg_id, s_nationkey AS \"user\" FROM supplier")
+def rat_column(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 1).alias("seg_id"), F.col("s_nationkey").alias("user"), "s_acctbal")
+    return tables.read_column(table, "user")
+
+
+@query("SELECT o_orderkey * 37 // 100000 * 100000 AS page, count(*) AS n FROM orders GROUP BY ALL")
+def rat_pages(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/orders.parquet").select(tables.page_id(F.col("o_orderkey") * 37).alias("page"))
+    return ids.groupBy("page").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id + 1 AS seg_id, count(*) AS n, count(*) AS valid, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total,
+min(CAST(floor(value) AS BIGINT)) AS low, max(CAST(floor(value) AS BIGINT)) AS high FROM events GROUP BY ALL""")
+def stream_completion(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: each user's segment is emitted when its last event has come."""
+    name = f"completed_{uuid.uuid4().hex}"
+    known = spark.read.parquet(f"{d}/events.parquet")
+    sizes = known.groupBy((F.col("user_id") + 1).alias("seg_id")).agg(F.count("*").alias("expected"))
+    stream = spark.readStream.schema(known.schema).parquet(f"{d}/events.parque[t]")
+    rows = stream.select((F.col("user_id") + 1).alias("seg_id"), F.floor("value").cast("bigint").alias("value"))
+    query = completed_segments(rows.join(sizes, "seg_id")).writeStream.format("memory").queryName(name).outputMode("append")
+    run = query.option("checkpointLocation", f"{shared_dir(spark)}/{name}").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.table(name)
