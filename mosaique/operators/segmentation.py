@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mosaique.operators import cluster as km
 from mosaique.operators.graph import components, cut, drop_cut
-from mosaique.operators.neighbours import adjacent_segments, neighbour_pairs, squared_distance
+from mosaique.operators.neighbours import adjacent_segments, offsets, squared_distance
 from mosaique.operators.zonal import segment_sizes, spectral_sums
 from mosaique.sources.raster import bands_of
 
@@ -39,15 +39,43 @@ def dense_ids(keys: DataFrame, key: str, out: str) -> DataFrame:
     return parts.join(F.broadcast(offsets), "_part").select(key, (F.col("_base") + rank).alias(out))
 
 
+def _with_runs(known: DataFrame) -> DataFrame:
+    """``known`` (row, col, v, at) with ``run``: the place of the first pixel of its horizontal run of equal values."""
+    line = Window.partitionBy("row").orderBy("col")
+    begins = ~((F.lag("col").over(line) == F.col("col") - 1) & (F.lag("v").over(line) == F.col("v")))
+    marked = known.withColumn("_first", F.when(F.coalesce(begins, F.lit(True)), F.col("at")))
+    return marked.withColumn("run", F.last("_first", ignorenulls=True).over(line)).drop("_first")
+
+
+def _run_links(runs: DataFrame, four_connected: bool) -> DataFrame:
+    """(u, v): runs that touch in neighbouring rows with equal values; each direction is one ordered pass."""
+    ways = [F.col("col")] if four_connected else [F.col("col"), F.col("col") - F.col("row"), F.col("col") + F.col("row")]
+    out = None
+    for way in ways:
+        down = Window.partitionBy("_way").orderBy("row")
+        told = runs.withColumn("_way", way).select(
+            F.col("run").alias("u"),
+            F.lead("run").over(down).alias("v"),
+            ((F.lead("row").over(down) == F.col("row") + 1) & (F.lead("v").over(down) == F.col("v"))).alias("_same"),
+        )
+        links = told.where("_same").select("u", "v")
+        out = links if out is None else out.unionByName(links)
+    return out.distinct()
+
+
 def clump(pixels: DataFrame, value: str = "cluster_id", four_connected: bool = True, first_id: int = 1) -> DataFrame:
-    """(row, col, seg_id): components of equal ``value``, numbered in scan order of their first pixels; 0 where it is 0 or null."""
+    """(row, col, seg_id): components of equal ``value``, numbered in scan order of their first pixels; 0 where it is 0 or null.
+
+    The graph is that of horizontal runs, not of pixels: runs come from one pass
+    along the rows, their links from one pass along each direction that crosses
+    rows, and a component's smallest run begins at its first pixel.
+    """
     own = pixels.select("row", "col", F.col(value).alias("v"))
     own = own.withColumn("at", (F.col("row").cast("bigint") * F.lit(1 << 31)) + F.col("col"))
-    known = own.where("v IS NOT NULL AND v <> 0")
-    same = neighbour_pairs(known, four_connected, forward=True).where("v = n_v")
-    roots = components(same.select(F.col("at").alias("u"), F.col("n_at").alias("v")))
-    rooted = known.join(roots, known["at"] == roots["node"], "left").select(
-        "row", "col", F.coalesce("root", "at").alias("root")
+    runs = cut(_with_runs(own.where("v IS NOT NULL AND v <> 0")))
+    roots = components(_run_links(runs, four_connected))
+    rooted = runs.join(roots, runs["run"] == roots["node"], "left").select(
+        "row", "col", F.coalesce("root", "run").alias("root")
     )
     ids = dense_ids(rooted, "root", "seg_id")
     found = rooted.join(ids, "root").select("row", "col", (F.col("seg_id") + first_id - 1).alias("seg_id"))
@@ -84,8 +112,6 @@ def nearest_neighbour_pixels(seg: DataFrame, pixels: DataFrame, four_connected:
 
 def neighbour_steps(pixels: DataFrame, four_connected: bool) -> DataFrame:
     """Each pixel with its neighbours' positions n_row and n_col."""
-    from mosaique.operators.neighbours import offsets
-
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets(four_connected)])
     return (
         pixels.withColumn("_o", F.explode(steps))

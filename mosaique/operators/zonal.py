@@ -139,7 +139,7 @@ def histogram_summary(sizes: DataFrame) -> DataFrame:
 
     The median is the first id whose cumulative count reaches half of all.
     """
-    total = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    whole = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     # prefix sums over ranges of ids: counts per range first, then within each
     part = F.expr("seg_id div 4096")
     ranges = sizes.groupBy(part.alias("part")).agg(F.sum("n").alias("own"))
@@ -150,7 +150,6 @@ def histogram_summary(sizes: DataFrame) -> DataFrame:
         sizes.withColumn("part", part)
         .join(ranges, "part")
         .withColumn("cum", F.col("base") + F.sum("n").over(inner))
-        .crossJoin(F.broadcast(total))  # one row
     )
     weight = F.sum("n")
     mean = F.sum(F.col("seg_id") * F.col("n")) / weight
@@ -160,6 +159,6 @@ def histogram_summary(sizes: DataFrame) -> DataFrame:
         F.max("seg_id").alias("maximum"),
         mean.alias("mean"),
         F.sqrt(square - mean * mean).alias("stddev"),
-        F.min(F.when(F.col("n") == F.col("most"), F.col("seg_id"))).alias("mode"),
-        F.min(F.when(F.col("cum") * 2 >= F.col("total"), F.col("seg_id"))).alias("median"),
+        F.min(F.when(F.col("n") == F.lit(whole["most"]), F.col("seg_id"))).alias("mode"),
+        F.min(F.when(F.col("cum") * 2 >= F.lit(whole["total"]), F.col("seg_id"))).alias("median"),
     )
