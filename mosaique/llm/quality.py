@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from mosaique.llm.common import labelled_sample
 
 #: Buckets of hashed words, rank of the interactions, words a task remembers.
-BUCKETS, RANK, MEMORY = 1 << 13, 8, 300_000
+BUCKETS, RANK, MEMORY = 1 << 13, 8, 200_000
 #: Rounds over the sample, rows of a mini-batch, step size, weight decay.
 EPOCHS, BATCH, STEP, DECAY = 12, 64, 0.05, 1e-4
 #: Statistics are clipped at so many standard deviations.

@@ -49,7 +49,7 @@ LEXICON, LEAST_DOCS = 20_000, 5
 #: Chance, per document, up to which a segment counts as significant.
 ALPHA = 0.01
 #: Words a task remembers; beyond that it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 
 _OUTER = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()) + "«»“”‘’„…¿¡–—"
 

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 
 #: Characters of a chunk, which bounds what a task holds besides its longest text.
 CHUNK = 8_000_000
+#: Pieces that the tokenizer gets at once; what it returns for each is large.
+BLOCK = 8192
 #: Stands between words that are encoded together; no text that holds it gets there.
 MARK = "\x01"
 
@@ -84,8 +86,12 @@ class WordBpe:
         real = np.array([p != MARK for p in pieces], bool)
         lengths, ids = np.zeros(len(pieces), np.int64), np.zeros(0, "<u4")
         if real.any():
-            joined = " ".join([p for p in pieces if p != MARK])
-            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            known = [p for p in pieces if p != MARK]
+            parts = [
+                self.plain.encode_batch_fast([" ".join(known[i : i + BLOCK])], add_special_tokens=False)[0].ids
+                for i in range(0, len(known), BLOCK)
+            ]
+            ids = np.concatenate([np.array(x, "<u4") for x in parts])
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != real.sum():
                 raise ValueError("a piece's ids do not end with the end of a word")
