@@ -91,19 +91,25 @@ def assign(pixels: DataFrame, centres: DataFrame | list[tuple[int, list[float]]]
 
 
 def lloyd(sample: DataFrame, centres: DataFrame, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """K-means from given centres: each round is one aggregation of the sample."""
+    """K-means from given centres; a centre without pixels stays where it is.
+
+    The rounds run in the JVM over the cached sample: this is the one place that
+    needs given starting centres, which only the RDD-based trainer takes.
+    """
+    from pyspark import StorageLevel
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+
     rows = centre_rows(centres)
     bands = bands_of(sample)
-    for _ in range(rounds):
-        means = assign(sample, rows).where("cluster_id > 0").groupBy("cluster_id").agg(*[F.avg(b).alias(b) for b in bands])
-        found = {r["cluster_id"]: [float(r[b]) for b in bands] for r in means.collect()}
-        new = [(i, found.get(i, c)) for i, c in rows]
-        moved = max((sum((a - b) ** 2 for a, b in zip(c, d)) for (_, c), (_, d) in zip(rows, new)), default=0)
-        rows = new
-        if moved <= tolerance**2:
-            break
+    points = sample.select(*bands).rdd.map(lambda r: [float(x) for x in r]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        start = KMeansModel([c for _, c in rows])
+        found = KMeans.train(points, len(rows), rounds, epsilon=tolerance, initialModel=start).clusterCenters
+    finally:
+        points.unpersist()
     schema = "cluster_id int, " + ", ".join(f"c{i} double" for i in range(1, len(bands) + 1))
-    return sample.sparkSession.createDataFrame([(i, *c) for i, c in rows], schema)
+    new = [(i, *map(float, c)) for (i, _), c in zip(rows, found)]
+    return sample.sparkSession.createDataFrame(new, schema)
 
 
 def fit(pixels: DataFrame, k: int = 60, percent: float = 1, fixed_init: bool = False, seed: int = 42) -> DataFrame:

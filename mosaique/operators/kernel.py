@@ -91,7 +91,8 @@ def merge_small(
     for dr, dc in offsets(four_connected, forward=True):
         other = shift(seg, dr, dc, 0)
         touch = (seg != other) & (seg != 0) & (other != 0)
-        for x, y in {*zip(seg[touch].tolist(), other[touch].tolist())}:
+        pairs = np.unique(seg[touch].astype(np.int64) * len(size) + other[touch])
+        for x, y in zip((pairs // len(size)).tolist(), (pairs % len(size)).tolist()):
             near.setdefault(x, set()).add(y)
             near.setdefault(y, set()).add(x)
     now = np.arange(len(size))
@@ -115,9 +116,11 @@ def merge_small(
                     if x != o:
                         near[x].add(o)
                         near[o].add(x)
-                now[now == s] = o
+                now[s] = o
             if not targets:
                 break
+    while not np.array_equal(jumped := now[now], now):
+        now = jumped
     return now[seg]
 
 
