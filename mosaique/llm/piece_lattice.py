@@ -16,7 +16,7 @@ different segmentation. Characters outside the table fall back to their bytes.
 The words of the corpus are counted, the ``frequent`` most common go through the
 lattice, and their ids, bounded by that number, are broadcast. A word that is
 rarer or longer than ``LONGEST`` gets its lattice where it stands: the same
-edges, the same fold, in the task, each distinct one once while remembered.
+edges, the same fold, in the task, as arrays over the distinct words of a chunk.
 
 Rows: a null or empty text has no ids and decodes to ''. Null and repeated
 doc_ids keep their rows. An empty table gives an empty result. Texts that hold
@@ -26,10 +26,10 @@ ignored.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Characters of a word that is folded by SQL at most; words a task remembers.
-LONGEST, MEMORY = 48, 400_000
+#: Characters of a word that is folded by SQL at most.
+LONGEST = 48
 #: Score of a character outside the table, below any piece's, in a Viterbi path.
 UNKNOWN = 10.0
-#: Documents that a task turns into one batch.
-TOGETHER = 256
+#: Characters of the texts that a task turns into one batch.
+CHUNK = 2_000_000
 
 
 def default_path() -> str:
@@ -93,38 +93,11 @@ class Pieces:
 
     def ids(self, word: str) -> list[int]:
         """The word's ids by the same lattice, in the task."""
-        if word in self.scores and self.kind == "unigram" or len(word) == 1:
-            return self.char_ids(word) if len(word) == 1 else self._viterbi(word)
-        return self._merged(word) if self.kind == "bpe" else self._viterbi(word)
-
-    def _merged(self, word: str) -> list[int]:
-        get, n = self.scores.get, len(word)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at a place
-        agenda = []
-        for i in range(n - 1):
-            if x := get(word[i : i + 2]):
-                agenda.append((-x[0], i, i + 1, i + 2))
-        heapq.heapify(agenda)
-        alive = [True] * n
-        while agenda:
-            _, s, m, e = heapq.heappop(agenda)
-            if not (alive[s] and m < n and alive[m] and end[s] == m and end[m] == e):
-                continue
-            alive[m], end[s] = False, e
-            if e < n:
-                before[e] = s
-                if x := get(word[s : end[e]]):
-                    heapq.heappush(agenda, (-x[0], s, e, end[e]))
-            if (p := before[s]) >= 0 and (x := get(word[p:e])):
-                heapq.heappush(agenda, (-x[0], p, s, e))
-        out, at = [], 0
-        while at < n:
-            if end[at] - at == 1:
-                out += self.char_ids(word[at])
-            else:
-                out.append(self.scores[word[at : end[at]]][1])
-            at = end[at]
-        return out
+        if self.kind == "unigram":
+            return self._viterbi(word)
+        if "_folder" not in self.__dict__:
+            object.__setattr__(self, "_folder", Folder(self))
+        return self.__dict__["_folder"].fold([word])[1].tolist()
 
     def _viterbi(self, word: str) -> list[int]:
         n, floor = len(word), min((s for s, _ in self.scores.values()), default=0.0) - UNKNOWN
@@ -146,11 +119,91 @@ class Pieces:
         ]
 
 
+class Folder:
+    """The lattice and the priority fold of many words at once, as arrays, for a task.
+
+    Symbols are pieces; an edge is a pair of neighbouring symbols that the table
+    of pairs joins to a piece. Each round takes the best edge of every word that
+    has one, the leftmost of equals.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        names = list(pieces.scores)
+        place = {p: i for i, p in enumerate(names)}
+        order = sorted(names, key=lambda p: -pieces.scores[p][0])
+        rank, last = {}, None  # equal scores share a rank
+        for p in order:
+            if pieces.scores[p][0] != last:
+                last, n = pieces.scores[p][0], len(rank)
+            rank[p] = n
+        pairs = {
+            (place[p[:k]] << 32 | place[p[k:]]): (rank[p], place[p])
+            for p in names for k in range(1, len(p)) if p[:k] in place and p[k:] in place
+        }
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
+        self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.ids = np.array([pieces.scores[p][1] for p in names], np.int64)
+        self.chars = {p: i for p, i in place.items() if len(p) == 1}
+        if any(c not in self.chars for p in names for c in p):
+            raise ValueError("a piece has a character that is no piece")
+
+    def fold(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all their ids)."""
+        text = "".join(words)
+        unknown = sorted(set(text) - self.chars.keys())
+        low = -1 - np.arange(len(unknown))
+        codes = {**self.chars, **dict(zip(unknown, low.tolist()))}
+        sym = np.fromiter(map(codes.__getitem__, text), np.int64, len(text))
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        done_sym, done_word, done_at = [], [], []
+        at = np.arange(len(sym))
+        none = np.iinfo(np.int64).max
+        while len(sym) and len(self.keys):
+            key = np.where((sym[:-1] >= 0) & (sym[1:] >= 0) & (word[:-1] == word[1:]), sym[:-1] << 32 | sym[1:], -1)
+            hit = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[hit] == key
+            # rank first, then place: the least is the best edge, the leftmost of equals
+            best = np.where(known, self.rank[hit] << 32 | np.arange(len(key)), none)
+            best = np.append(best, none)
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(best, starts)
+            going = least != none
+            left = least[going] & 0xFFFFFFFF
+            sym[left] = self.made[hit[left]]
+            keep = np.ones(len(sym), bool)
+            keep[left + 1] = False
+            active = np.repeat(going, np.diff(np.append(starts, len(sym))))
+            rest = keep & ~active
+            done_sym.append(sym[rest]), done_word.append(word[rest]), done_at.append(at[rest])
+            keep &= active
+            sym, word, at = sym[keep], word[keep], at[keep]
+        done_sym.append(sym), done_word.append(word), done_at.append(at)
+        back = np.argsort(np.concatenate(done_at), kind="stable")
+        sym, word = np.concatenate(done_sym)[back], np.concatenate(done_word)[back]
+        n = np.ones(len(sym), np.int64)
+        ids = self.ids[np.maximum(sym, 0)] if len(self.ids) else np.zeros(len(sym), np.int64)
+        if unknown:  # by their bytes
+            spelled = [self.pieces.char_ids(c) for c in unknown]
+            n = np.where(sym < 0, np.array([len(x) for x in spelled])[np.maximum(-1 - sym, 0)], 1)
+            out = np.repeat(ids, n)
+            ends = np.cumsum(n)
+            for i in np.flatnonzero(sym < 0).tolist():
+                out[ends[i] - n[i] : ends[i]] = spelled[-1 - sym[i]]
+            ids = out
+        lengths = np.zeros(len(words), np.int64)
+        np.add.at(lengths, word, n)
+        return lengths, ids.astype("<i4")
+
+
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text, each with the ``▁`` before it."""
+    if text and "  " not in text and SPACE not in text and text[-1] != " " and text[0] != " ":
+        return [SPACE + w for w in text.split(" ")]
     return _WORDS((SPACE + text).replace(" ", SPACE)) if text else []
 
 
@@ -258,58 +311,84 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def frequent_words(docs: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` commonest words that occur more than once and are at most LONGEST characters long."""
-    marked = F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE)))
-    # a break stands between what is not and what is a space sign
-    broken = F.regexp_replace(marked, f"([^{SPACE}])(?={SPACE})", "$1\u0000")
+    # runs of spaces make other words; those are left to the tasks
+    parts = F.split(F.col("text"), " ", -1)
     return (
         docs.where("text <> ''")
-        .select(F.explode(F.split(broken, "\u0000", -1)).alias("word"))
-        .where(F.length("word") <= LONGEST)
+        .select(F.explode(parts).alias("word"))
+        .where(F.length("word") < LONGEST)
         .groupBy("word")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
         .orderBy(F.col("n").desc(), "word")
         .limit(limit)
-        .select("word")
+        .select(F.concat(F.lit(SPACE), "word").alias("word"))
     )
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    values = np.concatenate(ids) if ids else np.zeros(0, "<i4")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32, copy=False)))
-
-
-def encode(docs: DataFrame, pieces: Pieces | None = None, frequent: int = 1 << 17) -> DataFrame:
-    """(doc_id, ids) of every row."""
-    pieces = pieces or Pieces.load()
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts with about CHUNK characters."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK or i == len(texts) - 1:
+            yield first, i + 1 - first
+            first, size = i + 1, 0
+
+
+def _chunk(texts: list[str | None], known: dict[str, bytes], pieces: Pieces, folder: Folder | None) -> pa.ListArray:
+    """Each text's ids; the chunk's distinct words are looked up or folded once."""
+    lists = [words_of(t or "") for t in texts]
+    coded = pa.array([w for words in lists for w in words], pa.string()).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    raw = [known.get(w) for w in names]
+    rare = [i for i, r in enumerate(raw) if r is None]
+    lengths = np.array([0 if r is None else len(r) // 4 for r in raw], np.int64)
+    if folder is not None:
+        own, ids = folder.fold([names[i] for i in rare])
+    else:
+        found = [np.array(pieces.ids(names[i]), "<i4") for i in rare]
+        own, ids = np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, "<i4"), *found])
+    # known words first, then the rare, then back into the order of the dictionary
+    common = np.frombuffer(b"".join(r for r in raw if r is not None), "<i4")
+    place = np.empty(len(names), np.int64)
+    is_rare = np.zeros(len(names), bool)
+    is_rare[rare] = True
+    place[~is_rare], place[is_rare] = np.arange(len(names) - len(rare)), np.arange(len(names) - len(rare), len(names))
+    sizes = np.concatenate((lengths[~is_rare], own))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    table = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate((common, ids)).astype(np.int32)))
+    at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
+    stream = table.take(pa.array(at)).flatten()
+    ends = np.concatenate(([0], np.cumsum(sizes[at])))
+    stops = ends[np.cumsum([0, *map(len, lists)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), stream)
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, frequent: int, finish: Callable, schema: str) -> DataFrame:
+    """``finish(doc_ids, ids)`` of every chunk of ``docs``, in the worker that encodes it."""
     common = encode_words(frequent_words(docs, frequent), pieces).toPandas()
     known = {w: np.asarray(i, "<i4").tobytes() for w, i in zip(common["word"], common["ids"])}
     shared = docs.sparkSession.sparkContext.broadcast((known, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = shared.value
-        other: dict[str, bytes] = {}
+        folder = Folder(pieces) if pieces.kind == "bpe" else None
+        for batch in batches:
+            for at, n in _parts(batch.column(1).to_pylist()):
+                part = batch.slice(at, n)
+                yield finish(part.column(0), _chunk(part.column(1).to_pylist(), known, pieces, folder))
 
-        def look(word: str) -> bytes:
-            raw = other.get(word)
-            if raw is None:
-                if len(other) > MEMORY:
-                    other.clear()
-                raw = other[word] = np.array(pieces.ids(word), "<i4").tobytes()
-            return raw
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-        for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                ids = []
-                for text in part.column(1).to_pylist():
-                    words = words_of(text or "")
-                    raw = [r if r is not None else look(w) for w, r in zip(words, map(known.get, words))]
-                    ids.append(np.frombuffer(b"".join(raw), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+def encode(docs: DataFrame, pieces: Pieces | None = None, frequent: int = 1 << 17) -> DataFrame:
+    """(doc_id, ids) of every row."""
+
+    def finish(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
+
+    return _encoded(docs, pieces or Pieces.load(), frequent, finish, "doc_id long, ids array<int>")
 
 
 def _bytes_by_id(pieces: Pieces) -> dict[int, bytes]:
@@ -335,25 +414,20 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 def digest(docs: DataFrame, pieces: Pieces | None = None, frequent: int = 1 << 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256."""
-    import hashlib
-
     pieces = pieces or Pieces.load()
     table = _bytes_by_id(pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for ids in batch.column(1):
-                own = ids.values.to_numpy().astype("<u4")
-                raw = b"".join(map(table.__getitem__, own.tolist()))
-                text = raw.decode("utf-8", "replace").removeprefix(" ")
-                sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((len(own), zlib.crc32(own.tobytes()), sha))
-            n, crc, sha = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"],
-            )
+    def finish(doc_ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        n, crc, sha = [], [], []
+        for ids in lists:
+            own = ids.values.to_numpy().astype("<u4")
+            raw = b"".join(map(table.__getitem__, own.tolist()))
+            text = raw.decode("utf-8", "replace").removeprefix(" ")
+            n.append(len(own))
+            crc.append(zlib.crc32(own.tobytes()))
+            sha.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+        columns = [doc_ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
-    return encode(docs, pieces, frequent).mapInArrow(run, schema)
+    return _encoded(docs, pieces, frequent, finish, schema)
