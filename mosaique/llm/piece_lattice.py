@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaique.operators.graph import cut
+
 SPACE = "▁"
 #: Characters of a word that is folded by SQL at most.
 LONGEST = 48
 #: Score of a character outside the table, below any piece's, in a Viterbi path.
 UNKNOWN = 10.0
 #: Characters of the texts that a task turns into one batch.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def default_path() -> str:
@@ -310,20 +312,30 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` commonest words that occur more than once and are at most LONGEST characters long."""
+    """At most ``limit`` of the commonest words that occur more than once and are at most LONGEST characters long.
+
+    Counts are put into steps of a sixteenth of an octave, and the highest steps
+    that hold no more than ``limit`` words are taken; no task gathers them.
+    """
     # runs of spaces make other words; those are left to the tasks
     parts = F.split(F.col("text"), " ", -1)
-    return (
+    counts = cut(
         docs.where("text <> ''")
         .select(F.explode(parts).alias("word"))
         .where(F.length("word") < LONGEST)
         .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .orderBy(F.col("n").desc(), "word")
-        .limit(limit)
-        .select(F.concat(F.lit(SPACE), "word").alias("word"))
+        .agg(F.floor(F.log2(F.count("*")) * 16).cast("int").alias("step"))
+        .where("step > 0")
     )
+    # a row for each step, a thousand at most
+    sizes = {r["step"]: r["count"] for r in counts.groupBy("step").count().collect()}
+    least, held = 1 << 30, 0
+    for step in sorted(sizes, reverse=True):
+        held += sizes[step]
+        if held > limit:
+            break
+        least = step
+    return counts.where(F.col("step") >= least).select(F.concat(F.lit(SPACE), "word").alias("word"))
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -378,6 +390,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, frequent: int, finish: Callable, s
             for at, n in _parts(batch.column(1).to_pylist()):
                 part = batch.slice(at, n)
                 yield finish(part.column(0), _chunk(part.column(1).to_pylist(), known, pieces, folder))
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
