@@ -9,10 +9,14 @@ digit runs replaced by ``#``. From the root down, where a node has more than
 ``max_children`` children, those with less than ``min_share`` of its pages become
 ``*``. From the leaves up, siblings whose subtrees have the same templates and
 whose shares of blocked pages do not differ (by arcsine, in steps of two
-standard errors at most) become one branch. A template is rejected where its
-smoothed labelled purity, (blocked + weight * prior) / (labelled + weight) with
-the table's share of blocked pages as prior, reaches ``purity``. Labels are
-those that the rules give.
+standard errors at most) become one branch; shares are of labelled pages, and a
+branch without any counts with that of its siblings. A template is rejected
+where its smoothed labelled purity reaches ``purity``: from the parent domains
+(of two names at least) to the host, its branches and the template itself, each
+level with labels has (blocked + weight * wider) / (labelled + weight), where
+``wider`` is the purity one level up. The widest starts from the share of blocked
+among all labelled pages, kept below ``purity``, so that share alone rejects
+nothing. Labels are those that the rules give.
 
 The tree is built on distinct (host, path shape) rows with their counts, added
 up before they are dealt out, so a host with a third of all pages is no more
@@ -25,6 +29,8 @@ changed. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,16 +131,15 @@ def _merged(shapes: DataFrame, deepest: int) -> DataFrame:
             F.sum("labelled").alias("labelled"),
             F.sum("blocked").alias("blocked"),
         )
+        siblings = like.groupBy("host", "parent").agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("usual"))
+        share = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(F.coalesce("usual", F.lit(0.0)))
+        like = like.join(siblings, ["host", "parent"])
         # arcsine makes a share's standard error 1 / (2 sqrt n), whatever the share
-        angle = F.asin(F.sqrt(F.col("blocked") / F.col("n")))
-        width = F.least(F.lit(STEP), F.greatest(F.lit(0.05), 1 / F.sqrt("n")))
-        like = like.withColumn("rate", F.round(angle / F.round(width, 2)) * F.round(width, 2))
-        like = like.withColumn("told", F.col("labelled") > 0)
-        groups = like.groupBy("host", "parent", "form", "rate", "told").agg(
-            F.min("seg").alias("first"), F.count("*").alias("k")
-        )
+        width = F.round(F.least(F.lit(STEP), F.greatest(F.lit(0.05), 1 / F.sqrt("n"))), 2)
+        like = like.withColumn("rate", F.round(F.asin(F.sqrt(share)) / width) * width)
+        groups = like.groupBy("host", "parent", "form", "rate").agg(F.min("seg").alias("first"), F.count("*").alias("k"))
         names = (
-            like.join(groups.where("k > 1"), ["host", "parent", "form", "rate", "told"])
+            like.join(groups.where("k > 1"), ["host", "parent", "form", "rate"])
             .select("host", "parent", "seg", F.concat(F.lit("("), "first", F.lit("|+"), F.col("k") - 1, F.lit(")")).alias("name"))
         )
         told = now.withColumns({"parent": F.slice("segs", 1, d), "seg": F.get("segs", F.lit(d))})
@@ -143,8 +148,34 @@ def _merged(shapes: DataFrame, deepest: int) -> DataFrame:
     return now
 
 
+def _domains(host: Column) -> Column:
+    """The host and its parent domains of two names at least, the widest first; an address has no parents."""
+    names = F.split(host, "[.]", -1)
+    wider = F.transform(F.sequence(F.lit(2), F.size(names)), lambda k: F.array_join(F.slice(names, -k, k), "."))
+    return F.when((F.size(names) > 2) & ~host.rlike("^[0-9.]+$|[:\\]]"), wider).otherwise(F.array(host))
+
+
+def _backed_off(nodes: DataFrame, keys: list[str], levels: Column, start: Column, weight: float) -> DataFrame:
+    """``nodes`` (keys, labelled, blocked, start) as (keys, pure): ``start`` smoothed through the counts of each of ``levels``.
+
+    ``levels`` are the node's ancestors and itself, the widest first; counts of a level are those of all nodes under it.
+    """
+    at = nodes.select(*keys, start.alias("start"), "labelled", "blocked", F.posexplode_outer(levels).alias("depth", "level"))
+    within = [k for k in keys if k == "host" and len(keys) > 1]  # branches are the host's own
+    sums = at.groupBy(*within, "level").agg(F.sum("labelled").alias("told"), F.sum("blocked").alias("bad"))
+    chain = (
+        at.join(sums, [*within, "level"], "left")
+        .groupBy(*keys)
+        .agg(F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("depth", "told", "bad"))).alias("chain"))
+    )
+    fold = F.aggregate(
+        "chain", F.col("start"), lambda p, x: F.when(x["told"] > 0, (x["bad"] + weight * p) / (x["told"] + weight)).otherwise(p)
+    )
+    return chain.select(*keys, fold.alias("pure"))
+
+
 def templates(
-    pages: DataFrame, max_children: int = 16, min_share: float = 0.02, weight: float = 4.0
+    pages: DataFrame, max_children: int = 16, min_share: float = 0.02, weight: float = 4.0, purity: float = 0.5
 ) -> DataFrame:
     """(host, shape, template, purity) of ``pages`` (host, path, label: 1 blocked, 0 allowed, null)."""
     shapes = (
@@ -157,14 +188,18 @@ def templates(
         .withColumn("segs", F.col("shape"))
     )
     now = _generalised(shapes, max_children, min_share)
-    sums = now.agg(F.max(F.size("segs")), F.sum("n"), F.sum("blocked")).first()
+    sums = now.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("blocked")).first()
     now = _merged(now, sums[0] or 0)
-    prior = (sums[2] or 0) / max(1, sums[1] or 0)
-    pure = now.groupBy("host", "segs").agg(
-        ((F.sum("blocked") + F.lit(weight * prior)) / (F.sum("labelled") + F.lit(weight))).alias("purity")
-    )
+    prior = min((sums[2] or 0) / max(1, sums[1] or 0), math.nextafter(purity, 0))
+    counts = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
+    hosts = now.groupBy("host").agg(*counts)
+    hosts = _backed_off(hosts, ["host"], _domains(F.col("host")), F.lit(prior), weight)
+    own = now.groupBy("host", "segs").agg(*counts).join(hosts, "host")
+    branches = F.transform(F.sequence(F.lit(1), F.size("segs")), lambda k: F.slice("segs", F.lit(1), k))
+    branches = F.when(F.size("segs") > 0, branches)
+    pure = _backed_off(own, ["host", "segs"], branches, F.col("pure"), weight)
     return now.join(pure, ["host", "segs"]).select(
-        "host", "shape", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), "purity"
+        "host", "shape", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), F.col("pure").alias("purity")
     )
 
 
@@ -182,7 +217,7 @@ def judge(
     ruled = told[F.col("rule")] if told is not None else F.lit(None).cast("string")
     rows = rows.withColumn("ruled", ruled)
     learned = templates(
-        rows.select("host", "path", (F.col("ruled") == BLOCK).cast("int").alias("label")), max_children, min_share
+        rows.select("host", "path", (F.col("ruled") == BLOCK).cast("int").alias("label")), max_children, min_share, purity=purity
     ).withColumnsRenamed({"host": "_host", "shape": "_shape"})
     nothing = F.lit(None)
     first = rows.where(F.col("rule").isNotNull()).select(

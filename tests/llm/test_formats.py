@@ -188,6 +188,22 @@ def test_templates_generalise_merge_and_reject(spark):
     assert any(t.endswith("/**") for h, t in got if h == "c.com")
 
 
+def test_labels_reach_pages_without_a_rule(spark):
+    rules = {"bad.com/x/": "block", "good.com/x/": "allow", "mixed.com/x/": "block", "mixed.com/y/": "allow", "far.org/x/": "block"}
+    urls = [f"http://{h}/{s}/{i}" for h in ("a.bad.com", "good.com", "mixed.com") for s in "xyz" for i in range(10)]
+    urls += ["http://b.bad.com/", "http://b.bad.com/q/7", "http://elsewhere.net/x/1", "http://1.2.3.4/x"]
+    urls += [f"http://www.far.org/x/{i}" for i in range(100)]  # blocked share of all labelled pages: over 0.5
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = [r for r in url_templates.judge(df, rules).collect() if r["rule"] is None]
+    got = {h: {r["verdict"] for r in rows if r["host"] == h} for h in {r["host"] for r in rows}}
+    assert got["a.bad.com"] == {"block"}  # its own labels
+    assert got["b.bad.com"] == {"block"}  # those of the parent domain
+    assert got["good.com"] == {"allow"}
+    assert got["elsewhere.net"] == got["1.2.3.4"] == {"allow"}  # no label but the table's share
+    purity = {r["host"]: r["purity"] for r in rows}
+    assert purity["a.bad.com"] > 0.8 and purity["good.com"] < 0.2 and 0.3 < purity["mixed.com"] < 0.7
+
+
 # Packing
 
 
