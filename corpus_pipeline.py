@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaique.llm import line_dedup, packing, quality, simhash, toxicity
+from mosaique.llm import line_dedup, near_copies, packing, quality, toxicity
 from mosaique.llm.common import cut, held_out
 
 
@@ -36,8 +36,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,154 @@
+"""Near copies by word shingles: MinHash bands for candidates, exact Jaccard similarity for links.
+
+Words are those of :mod:`mosaique.llm.simhash`; a text's shingles are its
+distinct runs of ``width`` words, a shorter text being one run, by their XXH64
+values. Texts with the same shingles are one class. ``BAND`` minima of as many
+linear functions make a bucket key; the number of keys follows from the chance
+``miss`` with which a pair right at ``similarity`` may share no bucket. Texts of
+one bucket are linked where the Jaccard similarity of their whole shingle sets
+reaches ``similarity``.
+
+Rows: null and empty texts are one class, that of no shingles. An empty table
+gives an empty result. Other columns are carried along.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from mosaique.llm.common import bucket_units, components, cut, drop_cut, in_units
+
+#: Minima that make one bucket key.
+BAND = 5
+#: Shingles whose function values are held at once.
+CHUNK = 1 << 12
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingles' XXH64 values, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    if len(words) > width:
+        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    hashes = (digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
+
+
+def bands(similarity: float, miss: float) -> int:
+    """Bucket keys a text needs so that a pair at ``similarity`` shares none with a chance of at most ``miss``."""
+    met = similarity**BAND
+    return 1 if met >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-met)))
+
+
+class MinHash:
+    """The same functions on every executor for the same parameters."""
+
+    def __init__(self, n: int, seed: int):
+        rng = np.random.default_rng(seed)
+        draw = lambda k: rng.integers(0, 2**64, k, dtype=np.uint64)
+        self.n, self.times, self.plus, self.mix = n, draw(n * BAND) | 1, draw(n * BAND), draw(BAND) | 1
+        self.own = draw(n)
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """The ``n`` bucket keys of one text."""
+        low = np.full(self.n * BAND, 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), CHUNK):
+            part = hashes[at : at + CHUNK, None] * self.times + self.plus
+            np.minimum(low, part.min(axis=0), out=low)
+        low ^= low >> np.uint64(31)
+        key = (low.reshape(self.n, BAND) * self.mix).sum(axis=1, dtype=np.uint64) + self.own
+        key ^= key >> np.uint64(29)
+        return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _marks(width: int, n: int, seed: int):
+    made = MinHash(n, seed)
+
+    @pandas_udf("ck binary, keys array<long>")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, width, seed) for t in texts]
+        return pd.DataFrame({"ck": [xxhash.xxh128_digest(x.tobytes()) for x in sets], "keys": [made.keys(x) for x in sets]})
+
+    return mark
+
+
+def _sets(width: int, seed: int):
+    @pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width, seed).tobytes() for t in texts])
+
+    return of
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of each set the first of its component, where pairs with at least ``similarity`` are linked.
+
+    A set is held against all that are not yet in its component, so that a group
+    of copies costs little more than its size.
+    """
+    root = np.arange(len(sets))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    held = np.zeros(len(codes), bool)
+    sums = np.zeros(len(codes) + 1, np.int64)
+    for i in range(len(sets)):
+        if (root == root[i]).all():
+            break
+        own = codes[starts[i] : ends[i]]
+        held[own] = True
+        np.cumsum(held[codes], out=sums[1:])
+        held[own] = False
+        both = sums[ends] - sums[starts]
+        near = both >= similarity * (sizes + sizes[i] - both)
+        met = np.unique(root[near & (root != root[i])])
+        if len(met):
+            root[np.isin(root, np.append(met, root[i]))] = min(met[0], root[i])
+    return root
+
+
+def _compared(similarity: float):
+    def work(unit: pd.DataFrame) -> pd.DataFrame | None:
+        node = unit["node"].to_numpy()
+        root = linked([np.frombuffer(b, np.uint64) for b in unit["shingles"]], similarity)
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pd.DataFrame({"u": node[moved], "v": node[root[moved]]}) if len(moved) else None
+
+    return work
+
+
+def one_of_each(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, miss: float = 1e-6, seed: int = 42
+) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest doc_id; rows without a doc_id stay."""
+    mark = _marks(width, bands(similarity, miss), seed)
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_mark": mark("text")})
+    rows = cut(rows.select(*docs.columns, "_row", F.col("_mark.ck").alias("_ck"), F.col("_mark.keys").alias("_keys")))
+    classes = cut(rows.groupBy("_ck").agg(F.min("_row").alias("node"), F.first("_keys").alias("keys")))
+    # keys alone are dealt out first; only texts that share a bucket fetch their shingles
+    units = bucket_units(classes.select("node", F.explode("keys").alias("key")), ["key"], "node")
+    units = cut(units)
+    some = rows.join(units.select(F.col("node").alias("_row")).distinct(), "_row", "left_semi")
+    sets = some.select(F.col("_row").alias("node"), _sets(width, seed)("text").alias("shingles"))
+    links = cut(in_units(units.join(sets, "node"), ["key"], _compared(similarity), "u long, v long"))
+    drop_cut(units)
+    named = classes.join(components(links), "node", "left").select("_ck", F.coalesce("root", "node").alias("root"))
+    named = rows.select("_ck", "_row", "doc_id").join(named, "_ck")
+    stays = named.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    stays = stays.select("first._row").unionByName(named.where("doc_id IS NULL").select("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
