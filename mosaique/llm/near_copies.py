@@ -135,7 +135,10 @@ def _compared(similarity: float):
 def one_of_each(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, miss: float = 1e-6, seed: int = 42
 ) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest doc_id; rows without a doc_id stay."""
+    """``docs`` with exactly one row of each component: of its smallest doc_id, or without one where all have none.
+
+    Among several such rows it is the one of the smallest hash of all columns.
+    """
     mark = _marks(width, bands(similarity, miss), seed)
     rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_mark": mark("text")})
     rows = cut(rows.select(*docs.columns, "_row", F.col("_mark.ck").alias("_ck"), F.col("_mark.keys").alias("_keys")))
@@ -148,7 +151,8 @@ def one_of_each(
     links = cut(in_units(units.join(sets, "node"), ["key"], _compared(similarity), "u long, v long"))
     drop_cut(units)
     named = classes.join(components(links), "node", "left").select("_ck", F.coalesce("root", "node").alias("root"))
-    named = rows.select("_ck", "_row", "doc_id").join(named, "_ck")
-    stays = named.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    stays = stays.select("first._row").unionByName(named.where("doc_id IS NULL").select("_row"))
+    # a hash of the whole row, for rows may share a doc_id or have none; _row parts only rows equal in all columns
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row"))
+    firsts = rows.groupBy("_ck").agg(first.alias("first"))
+    stays = named.join(firsts, "_ck").groupBy("root").agg(F.min("first").alias("first")).select("first._row")
     return rows.join(stays, "_row", "left_semi").select(*docs.columns)

@@ -43,6 +43,24 @@ def test_stage_finds_planted_copies(spark):
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_one_row_of_each_component_whatever_its_ids(spark):
+    rows = [(3, "a b c d"), (3, "a b c d"), (3, "something else is said"), (None, "a b c d"), (None, "no id here"), (None, "No id here"), (5, "A b c d")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+        assert sorted(got, key=str) == sorted([(3, "a b c d"), (3, "something else is said"), got_of(got)], key=str)
+        seen.add(got_of(got))
+    assert len(seen) == 1
+
+
+def got_of(rows):
+    """The kept one of the two rows without an id, the same in any order."""
+    own = {r for r in rows if r[0] is None}
+    assert own == {(None, "No id here")} or own == {(None, "no id here")}
+    return own.pop()
+
+
 def test_links_within_a_unit():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(60)]
