@@ -16,11 +16,13 @@ extreme-value tail and the sum of all go into a logistic link, fitted on the
 same training rows.
 
 Training takes at most ``sample`` labelled rows in the order of a hash of the
-id; the prior counts and the scoring cover all rows and whole texts.
+id; the prior counts and the scoring cover all rows and whole texts. The prior
+weighs as much as a twentieth of the training documents, so that few labels
+are not drowned by it, and never more than ``PRIOR`` documents.
 
 Rows: null and empty texts have no segment and get the score of a text without
 any. Null doc_ids keep their rows; repeated doc_ids keep theirs and count once
-in training. Without labels, or with one class only, the score is that class's
+in training, by the least of their texts. Without labels, or with one class only, the score is that class's
 (0 without labels). An empty table gives an empty result. Other columns are
 ignored.
 """
@@ -37,15 +39,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaique.llm.common import labelled_sample
+from mosaique.llm.common import cut, drop_cut, labelled_sample
 
 PREFIXES = (4, 5, 6, 7, 8)
 #: Score of a token without evidence; keeps the mean score of clean text below zero.
 DRIFT = -0.1
-#: Least |z| and log-odds of a unit in use, highest score of a token, pseudo-documents of the prior.
-LEAST_Z, LEAST_ODDS, CEILING, PRIOR = 4.0, 1.5, 8.0, 500.0
-#: Units that may enter the lexicon at most, and training documents that must hold one.
-LEXICON, LEAST_DOCS = 20_000, 5
+#: Least |z| and log-odds of a unit in use, highest score of a token.
+LEAST_Z, LEAST_ODDS, CEILING = 3.5, 1.5, 8.0
+#: Pseudo-documents of the prior: a share of the training documents, and at most.
+PRIOR_SHARE, PRIOR = 0.05, 500.0
 #: Chance, per document, up to which a segment counts as significant.
 ALPHA = 0.01
 #: Words a task remembers; beyond that it starts anew.
@@ -179,24 +181,37 @@ def _corpus_counts(names: list[str]):
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, n_toxic: int, n_clean: int, n_docs: int):
-    """(log-odds, z) of each unit's document counts with a Dirichlet prior of PRIOR documents."""
-    a = np.maximum(PRIOR * corpus / n_docs, 1e-3)
-    odds = lambda y, n: np.log((y + a) / np.maximum(n + PRIOR - y - a, 0.5))
+    """(log-odds, z) of each unit's document counts with a Dirichlet prior."""
+    prior = min(PRIOR, PRIOR_SHARE * (n_toxic + n_clean))
+    a = np.maximum(prior * corpus / n_docs, 1e-3)
+    odds = lambda y, n: np.log((y + a) / np.maximum(n + prior - y - a, 0.5))
     delta = odds(toxic, n_toxic) - odds(clean, n_clean)
     return delta, delta / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
 
 
-def _measured(model: Model):
+def _chances(model: Model):
+    """What clean texts show: (kind 0, token score, tokens) and (kind 1, segment score, segments), a task's sums."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
         for pdf in batches:
-            rows = []
             for text in pdf["text"]:
                 s = np.asarray(model.tokens(text))
                 at = np.flatnonzero(s > 0)
-                found = segments(s, at.tolist()) if len(at) else []
-                value, n = np.unique(np.round(s, 2), return_counts=True)
-                rows.append(([x[0] for x in found], value.tolist(), n.tolist()))
-            yield pd.DataFrame(rows, columns=["found", "value", "n"]).assign(doc_id=pdf["doc_id"], y=pdf["y"])
+                counts[0].update(dict(zip(*(x.tolist() for x in np.unique(np.round(s, 2), return_counts=True)))))
+                # three digits, so that texts of any length give few values
+                counts[1].update(float(f"{x[0]:.3g}") for x in (segments(s, at.tolist()) if len(at) else []))
+        rows = [(k, v, n) for k in (0, 1) for v, n in counts[k].items()]
+        yield pd.DataFrame(rows, columns=["kind", "value", "n"])
+
+    return run
+
+
+def _measured(model: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [model.measure(text)[:2] for text in pdf["text"]]
+            yield pd.DataFrame(rows, columns=["tail", "total"]).assign(doc_id=pdf["doc_id"], y=pdf["y"])
 
     return run
 
@@ -229,28 +244,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, out: Column, sample: int = 12_000) -> Model:
-    """The model learned from ``labels`` (doc_id, toxic), rows where ``out`` holds left out."""
+def fit(
+    docs: DataFrame, labels: DataFrame, out: Column, sample: int = 12_000, lexicon: int = 20_000, least_docs: int = 3
+) -> Model:
+    """The model learned from ``labels`` (doc_id, toxic), rows where ``out`` holds left out.
+
+    At most ``lexicon`` units enter, those that part the classes most among the ones of ``least_docs`` training documents.
+    """
     known = labelled_sample(labels, "toxic", out, sample)
     # at most `sample` rows of a long and an int
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    train = cut(
+        docs.select("doc_id", "text")
+        .join(F.broadcast(known), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    )
     counts = (
         train.mapInPandas(_unit_counts, "unit string, clean long, toxic long")
         .groupBy("unit")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where((F.col("unit") == "") | (F.col("clean") + F.col("toxic") >= least_docs))
     )
+    counts = cut(counts)
     n = counts.where("unit = ''").first()
     n_clean, n_toxic = (n["clean"], n["toxic"]) if n else (0, 0)
     if not n_clean or not n_toxic:
+        drop_cut(counts), drop_cut(train)
         return Model(constant=1.0 if n_toxic else 0.0)
     share = (F.col("clean") + F.col("toxic")) / F.lit(n_clean + n_toxic)
     gap = F.abs(F.col("toxic") / F.lit(n_toxic) - F.col("clean") / F.lit(n_clean))
-    top = (
-        counts.where((F.col("unit") != "") & (F.col("clean") + F.col("toxic") >= LEAST_DOCS))
-        .orderBy((gap / F.sqrt(share)).desc(), "unit")
-        .limit(LEXICON)
-        .toPandas()
-    )
+    top = counts.where("unit <> ''").orderBy((gap / F.sqrt(share)).desc(), "unit").limit(lexicon).toPandas()
+    drop_cut(counts)
     names = top["unit"].tolist()
     seen = (
         docs.select("text")
@@ -272,31 +296,28 @@ def fit(docs: DataFrame, labels: DataFrame, out: Column, sample: int = 12_000) -
         },
         constant=None,
     )
-    measured = (
-        train.mapInPandas(_measured(model), "found array<double>, value array<double>, n array<long>, doc_id long, y int")
-        .groupBy("doc_id")
-        .agg(F.first(F.struct("found", "value", "n", "y")).alias("x"))
-        .select("x.*")
+    # a row for each score of a token, to two decimals, and of a segment, to three digits
+    chances = (
+        train.where("y = 0")
+        .mapInPandas(_chances(model), "kind int, value double, n long")
+        .groupBy("kind", "value")
+        .agg(F.sum("n").alias("n"))
         .toPandas()
+        .sort_values("value")
     )
-    clean = measured[measured["y"] == 0]
-    hist: Counter = Counter()
-    for values, ns in zip(clean["value"], clean["n"]):
-        hist.update(dict(zip(values, ns)))
-    value, count = np.array(list(hist.keys())), np.array(list(hist.values()), float)
-    model.lam = _moment_root(value, count / max(1.0, count.sum()))
+    tokens, found = (chances[chances["kind"] == k] for k in (0, 1))
+    size = max(1.0, float(tokens["n"].sum()))
+    model.lam = _moment_root(tokens["value"].to_numpy(float), tokens["n"].to_numpy(float) / size)
     # segments that clean texts have, from a score on at which they are few
-    scores = np.sort(np.concatenate([np.zeros(0), *clean["found"]]))
-    least = float(scores[int(0.9 * len(scores))]) if len(scores) else 1.0
-    model.k = (float((scores >= least).sum()) + 0.5) / (max(1.0, count.sum()) * math.exp(-model.lam * least))
-    x = np.zeros((len(measured), 2))
-    for i, (found, ns) in enumerate(zip(measured["found"], measured["n"])):
-        if len(found):
-            n = int(sum(ns))
-            tail = -math.log10(max(-math.expm1(-model.expected(float(max(found)), n)), 1e-30))
-            good = [s for s in found if model.expected(float(s), n) <= ALPHA]
-            x[i] = tail, math.log1p(sum(good))
-    model.weights = tuple(_logistic(x, measured["y"].to_numpy(float)).tolist())
+    value, above = found["value"].to_numpy(float), found["n"].to_numpy(float)
+    above = above[::-1].cumsum()[::-1]
+    rare = np.flatnonzero(above <= 0.1 * above.max(initial=0))
+    at = rare[0] if len(rare) else len(value) - 1
+    least, many = (value[at], above[at]) if len(value) else (1.0, 0.0)
+    model.k = (float(many) + 0.5) / (size * math.exp(-min(600.0, model.lam * float(least))))
+    x = train.mapInPandas(_measured(model), "tail double, total double, doc_id long, y int").toPandas().sort_values("doc_id")
+    drop_cut(train)
+    model.weights = tuple(_logistic(np.column_stack((x["tail"], np.log1p(x["total"]))), x["y"].to_numpy(float)).tolist())
     return model
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaique.llm import quality, toxicity
+from mosaique.llm import quality, queries, toxicity
 from mosaique.llm.common import held_out, labelled_sample
 
 
@@ -78,6 +78,71 @@ def test_toxicity(corpus):
     assert {tuple(r)[:2] for r in again.collect()} == {tuple(r)[:2] for r in scored.collect()}
 
 
+def test_toxicity_query_against_brute_force(spark):
+    """op2_toxicity beside counts, log-odds and segments taken by definition from the same tables."""
+    import math
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in docs and y is not None}
+    held = {i: {u for w in (t or "").lower().split() for u in toxicity.units(w)} for i, t in docs.items()}
+    n1 = sum(train.values())
+    n0, prior = len(train) - n1, min(500.0, 0.05 * len(train))
+    model = toxicity.fit(
+        spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), held_out("doc_id", 5, 0)
+    )
+    seen = {}
+    for i, us in held.items():
+        for u in us:
+            x = seen.setdefault(u, [0, 0, 0])
+            x[2] += 1
+            if i in train:
+                x[train[i]] += 1
+    want = {}
+    for u, (clean, toxic, n) in seen.items():
+        if clean + toxic >= 3:
+            a = prior * n / len(docs)
+            delta = math.log((toxic + a) / (n1 + prior - toxic - a)) - math.log((clean + a) / (n0 + prior - clean - a))
+            z = abs(delta) / math.sqrt(1 / (toxic + a) + 1 / (clean + a))
+            if z >= 3.5 and abs(delta) >= 1.5:
+                want[u] = (min(delta, 8.0) if delta > 0 else -0.1, z)
+    assert set(model.scores) == set(want) and len(want) > 10
+    assert all(np.allclose(model.scores[u], want[u]) for u in want)
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
+    assert set(got) == set(docs)
+    checked = 0
+    for i, text in docs.items():
+        s = []
+        for w in (text or "").lower().split():
+            found = [want[u] for u in toxicity.units(w) if u in want]
+            s.append(max(found, key=lambda x: x[1])[0] if found else -0.1)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        if len(s) > 120:
+            continue
+        best = [x[0] for x in brute_segments(s)]
+        e = [model.k * len(s) * math.exp(-model.lam * x) for x in best]
+        tail = -math.log10(max(1e-30, -math.expm1(-min(e)))) if e else 0.0
+        total = math.log1p(sum(x for x, y in zip(best, e) if y <= 0.01))
+        w = model.weights
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(w[0] + w[1] * tail + w[2] * total))), abs=1e-6)
+        checked += 1
+    assert checked > 100
+    out = [i for i in labels if got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] for i in out if labels[i]]) >= 0.6
+    assert np.mean([got[i]["predicted"] for i in out if not labels[i]]) <= 0.01
+
+
+def test_repeated_ids_count_once(spark, corpus):
+    docs, labels = corpus
+    out = held_out("doc_id", 5, 0)
+    once, twice = toxicity.fit(docs, labels, out), toxicity.fit(docs.unionByName(docs.where("doc_id % 7 = 0")), labels, out)
+    # the prior sees every row; the training counts do not
+    assert set(once.scores) == set(twice.scores)
+
+
 def test_quality(corpus):
     docs, labels = corpus
     out = held_out("doc_id", 4, 2)
