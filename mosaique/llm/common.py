@@ -19,7 +19,8 @@ from mosaique.operators.graph import components, cut, drop_cut, shared_dir
 from mosaique.operators.kernel import components as labels_of
 
 __all__ = [
-    "BLOCK", "bucket_units", "components", "cut", "drop_cut", "held_out", "in_units", "labelled_sample", "labels_of", "shared_dir",
+    "BLOCK", "bucket_units", "components", "cut", "drop_cut", "held_out", "hot_units", "in_unit_batches", "in_units",
+    "labelled_sample", "labels_of", "shared_dir",
 ]
 
 #: Rows of one block of a bucket; a unit holds two blocks at most.
@@ -48,6 +49,60 @@ def bucket_units(rows: DataFrame, keys: list[str], node: str, block: int = BLOCK
     )
 
 
+def hot_units(rows: DataFrame, keys: list[str], node: str, block: int = BLOCK) -> DataFrame:
+    """As :func:`bucket_units`, but single rows stay, and rows are joined only where some bucket needs blocks."""
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+    if hot.isEmpty():
+        zero = F.lit(0)
+        return rows.withColumns({"blk": zero, "lo": zero, "hi": zero})
+    blocks = F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int")
+    dealt = (
+        rows.join(hot, keys, "left")
+        .withColumn("_b", blocks)
+        .withColumn("blk", F.pmod(F.xxhash64(node, F.lit(7)), F.col("_b")).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    )
+    return dealt.select(*rows.columns, "blk", F.least("blk", "_o").alias("lo"), F.greatest("blk", "_o").alias("hi"))
+
+
+def _cuts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    change = np.zeros(len(batch), dtype=bool)
+    change[:1] = True
+    for k in keys:
+        x = batch[k].to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+def in_unit_batches(units: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
+    """As :func:`in_units`, but ``work`` gets many whole units at once, and for each row the end of its unit."""
+    by = [*keys, "lo", "hi"]
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def done(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+            ends = np.append(starts[1:], len(frame))
+            out = work(frame, np.repeat(ends, ends - starts))
+            if out is not None:
+                yield out
+
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            starts = _cuts(batch, by)
+            if len(starts) > 1:
+                yield from done(batch.iloc[: starts[-1]], starts[:-1])
+            held = batch.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from done(held, np.zeros(1, np.int64))
+
+    return units.repartition(*by).sortWithinPartitions(*by).mapInPandas(over, schema)
+
+
 def unit_frames(
     keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None]
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -60,11 +115,7 @@ def unit_frames(
                 batch = pd.concat([held, batch], ignore_index=True)
             if not len(batch):
                 continue
-            change = np.zeros(len(batch), dtype=bool)
-            for k in keys:
-                x = batch[k].to_numpy()
-                change[1:] |= x[1:] != x[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist()]
+            cuts = _cuts(batch, keys).tolist()
             out = [work(batch.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
             out = [x for x in out if x is not None]
             if out:

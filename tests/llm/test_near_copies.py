@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from mosaique.llm import near_copies
+from mosaique.llm import simhash
 from tests.llm.test_near_dedup import union
 
 
@@ -68,17 +68,49 @@ def test_links_within_a_unit():
         (i, j) for i in range(60) for j in range(i)
         if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
     ]
-    assert near_copies.linked(sets, 0.5).tolist() == union(60, near)
+    assert simhash.linked(sets, 0.5).tolist() == union(60, near)
 
 
-@pytest.mark.parametrize("similarity, miss", [(0.8, 1e-6), (0.8, 0.1), (0.6, 0.1)])
-def test_bands_meet_what_they_are_planned_for(similarity, miss):
+def test_majority_against_counts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 100, 255, 256, 257, 1000):
+        x = rng.integers(0, 2**64, (n, 3), dtype=np.uint64)
+        x[: n // 3] = x[:1]
+        got = simhash.majority(iter(np.array_split(x, 3)), n, 3)
+        bits = np.unpackbits(x.view(np.uint8).reshape(n, 24), axis=1, bitorder="little")
+        want = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").view(np.uint64)
+        assert np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("miss", [1e-3, 0.1])
+def test_blocks_meet_what_they_are_planned_for(miss):
     rng = np.random.default_rng(2)
-    made = near_copies.MinHash(near_copies.bands(similarity, miss), 42)
-    missed, n = 0, 300
+    bits, blocks, distance = simhash.plan(100_000, 0.8, miss)
+    made = simhash.Blocks(bits, blocks, 42)
+    missed, far, n = 0, 0, 300
     for _ in range(n):
         both = rng.integers(0, 2**64, 500, dtype=np.uint64)
-        k = round(500 * similarity)
-        half = k + (500 - k) // 2
-        missed += not (made.keys(both[:half]) == made.keys(np.concatenate((both[:k], both[half:])))).any()
-    assert missed / n <= (0 if miss < 1e-3 else miss + 4 * (miss / n) ** 0.5)
+        (a, s), (b, t) = made.of(both[:450]), made.of(np.concatenate((both[:400], both[450:])))
+        missed += not (a == b).any()
+        far += int(np.bitwise_count((s ^ t).view(np.uint64)).sum()) > distance
+    assert far == 0 and missed / n <= miss + 4 * (miss / n) ** 0.5
+    a, b = (made.of(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(2))
+    assert np.bitwise_count((a[1] ^ b[1]).view(np.uint64)).sum() > distance
+
+
+def test_components_beside_brute_force_on_a_hot_bucket(spark, monkeypatch):
+    """Many copies of a few texts, at similarities around 0.8, with blocks so small that every bucket is dealt out."""
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 10**6, 80).astype(str) for _ in range(4)]
+    texts = []
+    for i in range(120):
+        one = base[i % 4].copy()
+        at = int(rng.integers(0, 70))
+        one[at : at + int(rng.integers(1, 9))] = f"x{i}"
+        texts.append(" ".join(one))
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash.hot_units, "__defaults__", (8,))
+    roots, _, _ = brute_roots(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(df, miss=1e-6).collect())
+    assert got == sorted(set(roots)) and 4 < len(got) < 100

@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from mosaique.llm import packing, quality, simhash, toxicity
+from mosaique.llm import packing, quality, toxicity
 from mosaique.llm.common import held_out
 from mosaique.llm.word_bpe import shared
-from tests.llm.test_near_dedup import brute_lines, union
+from tests.llm.test_near_copies import brute_roots
+from tests.llm.test_near_dedup import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,9 +51,7 @@ def test_stages_against_brute_force(spark, stages):
     assert all(len(r["text"]) == r["n_chars"] for r in rows(lines).values())
     # near copies
     ids = sorted(rows(lines))
-    fp = np.array([simhash.fingerprint(kept[i]) for i in ids], dtype=np.uint64)
-    near = np.argwhere(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 2, 1)).tolist()
-    roots = union(len(ids), near)
+    roots, _, _ = brute_roots([kept[i] for i in ids])
     assert sorted(rows(distinct)) == sorted({ids[r] for r in roots})
     # packing holds every id of what is left
     left = {}
