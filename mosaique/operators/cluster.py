@@ -93,27 +93,39 @@ def assign(pixels: DataFrame, centres: DataFrame | list[tuple[int, list[float]]]
 def lloyd(sample: DataFrame, centres: DataFrame, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """K-means from given centres; a centre without pixels stays where it is.
 
-    The rounds run in the JVM over the cached sample: this is the one place that
-    needs given starting centres, which only the RDD-based trainer takes.
+    Each round is an aggregation with the centres as literals; a row for each centre comes back.
     """
-    from pyspark import StorageLevel
-    from pyspark.mllib.clustering import KMeans, KMeansModel
-
     rows = centre_rows(centres)
     bands = bands_of(sample)
-    points = sample.select(*bands).rdd.map(lambda r: [float(x) for x in r]).persist(StorageLevel.MEMORY_AND_DISK)
+    points = sample.select(*[F.col(b).cast("double").alias(b) for b in bands]).persist()
+    columns = [F.col(b) for b in bands]
     try:
-        start = KMeansModel([c for _, c in rows])
-        found = KMeans.train(points, len(rows), rounds, epsilon=tolerance, initialModel=start).clusterCenters
+        for _ in range(rounds):
+            sums = points.groupBy(nearest(columns, rows).alias("cluster_id")).agg(*[F.avg(b).alias(b) for b in bands])
+            found = {r["cluster_id"]: [r[b] for b in bands] for r in sums.collect()}
+            new = [(i, found.get(i, c)) for i, c in rows]
+            moved = max(sum((x - y) ** 2 for x, y in zip(a, b)) for (_, a), (_, b) in zip(rows, new))
+            rows = new
+            if moved <= tolerance * tolerance:
+                break
     finally:
         points.unpersist()
-    schema = "cluster_id int, " + ", ".join(f"c{i} double" for i in range(1, len(bands) + 1))
-    new = [(i, *map(float, c)) for (i, _), c in zip(rows, found)]
-    return sample.sparkSession.createDataFrame(new, schema)
+    return _centre_table(sample, [c for _, c in rows], [i for i, _ in rows])
+
+
+def _centre_table(sample: DataFrame, centres: Sequence[Sequence[float]], ids: Sequence[int] | None = None) -> DataFrame:
+    schema = "cluster_id int, " + ", ".join(f"c{i} double" for i in range(1, len(bands_of(sample)) + 1))
+    rows = [(i, *map(float, c)) for i, c in zip(ids or range(1, len(centres) + 1), centres)]
+    return sample.sparkSession.createDataFrame(rows, schema)
+
 
+def fit(
+    pixels: DataFrame, k: int = 60, percent: float = 1, fixed_init: bool = False, seed: int = 42, starts: int = 5
+) -> DataFrame:
+    """Cluster centres (cluster_id from 1, c1..) of a systematic sample of the non-null pixels.
 
-def fit(pixels: DataFrame, k: int = 60, percent: float = 1, fixed_init: bool = False, seed: int = 42) -> DataFrame:
-    """Cluster centres (cluster_id from 1, c1..) of a systematic sample of the non-null pixels."""
+    Without ``fixed_init`` the best of ``starts`` fits from different seeds, by the sum of squared distances.
+    """
     bands = bands_of(pixels)
     sample = cut(systematic_sample(pixels, percent).select("row", "col", *bands))
     if fixed_init:
@@ -121,10 +133,13 @@ def fit(pixels: DataFrame, k: int = 60, percent: float = 1, fixed_init: bool = F
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=bands, outputCol="features").transform(sample)
-    found = KMeans(k=k, seed=seed, initMode="k-means||").fit(vectors).clusterCenters()
-    schema = "cluster_id int, " + ", ".join(f"c{i} double" for i in range(1, len(bands) + 1))
-    return pixels.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(found, 1)], schema)
+    vectors = VectorAssembler(inputCols=bands, outputCol="features").transform(sample).select("features").persist()
+    try:
+        fitted = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(vectors) for i in range(starts)]
+        best = min(fitted, key=lambda m: m.summary.trainingCost)
+    finally:
+        vectors.unpersist()
+    return _centre_table(sample, best.clusterCenters())
 
 
 def centre_distances(centres: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ so later jobs neither recompute it nor depend on any one executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="mosaique-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -59,16 +59,15 @@ def edge_pixel_counts(valid: DataFrame, four_connected: bool = True) -> DataFram
 def variogram(valid: DataFrame, max_dist: int, band: str = "b1", missing: float = -9999) -> DataFrame:
     """(seg_id, variogram1..m): root mean squared differences of pairs that many pixels apart, rounded down.
 
-    Only pairs that differ in both row and column count; a bin without pairs is missing.
+    Only pairs of which one lies below and to the right of the other count; a bin without pairs is missing.
     """
     own = valid.where(F.col(band).isNotNull()).select("seg_id", "row", "col", F.col(band).alias("v"))
     span = F.sequence(F.lit(1), F.lit(max_dist))
     ahead = own.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
     ahead = ahead.withColumn("bin", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("int"))
     ahead = ahead.where(F.col("bin") <= max_dist)
-    sides = F.array(F.lit(1), F.lit(-1))
-    ahead = ahead.withColumn("side", F.explode(sides)).select(
-        "seg_id", "v", "bin", (F.col("row") + F.col("dy")).alias("row"), (F.col("col") + F.col("side") * F.col("dx")).alias("col")
+    ahead = ahead.select(
+        "seg_id", "v", "bin", (F.col("row") + F.col("dy")).alias("row"), (F.col("col") + F.col("dx")).alias("col")
     )
     pairs = ahead.join(own.withColumnRenamed("v", "w"), ["seg_id", "row", "col"])
     square = (F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))

@@ -69,7 +69,7 @@ def variogram(pts: pd.DataFrame, max_dist: int) -> list[float]:
     value = np.pad(value_array(pts, 0), max_dist)
     total, n = np.zeros(max_dist + 1), np.zeros(max_dist + 1)
     for dy in range(1, max_dist + 1):
-        for dx in (*range(-max_dist, 0), *range(1, max_dist + 1)):
+        for dx in range(1, max_dist + 1):
             b = int(np.sqrt(dx * dx + dy * dy))
             if b <= max_dist:
                 both = known & np.roll(known, (-dy, -dx), (0, 1))

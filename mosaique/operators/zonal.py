@@ -123,8 +123,8 @@ def incomplete_segments(rat: DataFrame, valued: DataFrame) -> DataFrame:
 
 def empty_segments(sizes: DataFrame) -> DataFrame:
     """Ids from 1 to the largest without pixels."""
-    top = sizes.agg(F.max("seg_id").alias("top"))
-    wanted = top.where("top >= 1").select(F.explode(F.sequence(F.lit(1).cast("bigint"), "top")).alias("seg_id"))
+    top = sizes.agg(F.max("seg_id")).first()[0] or 0
+    wanted = sizes.sparkSession.range(1, top + 1).select(F.col("id").alias("seg_id"))
     return wanted.join(sizes.where("n > 0"), "seg_id", "left_anti")
 
 
@@ -139,7 +139,9 @@ def histogram_summary(sizes: DataFrame) -> DataFrame:
 
     The median is the first id whose cumulative count reaches half of all.
     """
-    whole = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    weight = F.sum("n")
+    mean = F.sum(F.col("seg_id") * F.col("n")) / weight
+    whole = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most"), mean.alias("mean")).first()
     # prefix sums over ranges of ids: counts per range first, then within each
     part = F.expr("seg_id div 4096")
     ranges = sizes.groupBy(part.alias("part")).agg(F.sum("n").alias("own"))
@@ -151,14 +153,12 @@ def histogram_summary(sizes: DataFrame) -> DataFrame:
         .join(ranges, "part")
         .withColumn("cum", F.col("base") + F.sum("n").over(inner))
     )
-    weight = F.sum("n")
-    mean = F.sum(F.col("seg_id") * F.col("n")) / weight
-    square = F.sum(F.col("seg_id").cast("double") * F.col("seg_id") * F.col("n")) / weight
+    away = F.col("seg_id") - F.lit(whole["mean"])  # squares of the ids themselves would cancel
     return cum.agg(
         F.min("seg_id").alias("minimum"),
         F.max("seg_id").alias("maximum"),
         mean.alias("mean"),
-        F.sqrt(square - mean * mean).alias("stddev"),
+        F.sqrt(F.sum(away * away * F.col("n")) / weight).alias("stddev"),
         F.min(F.when(F.col("n") == F.lit(whole["most"]), F.col("seg_id"))).alias("mode"),
         F.min(F.when(F.col("cum") * 2 >= F.lit(whole["total"]), F.col("seg_id"))).alias("median"),
     )

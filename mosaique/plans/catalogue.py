@@ -22,7 +22,7 @@ from mosaique.operators import spatial, subset, tiling, zonal
 from mosaique.operators.zonal import Stat
 from mosaique.operators.graph import shared_dir
 from mosaique.sources import raster
-from mosaique.streaming.completion import completed_segments
+from mosaique.streaming.completion import OUT, check_complete, completed_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -455,7 +455,7 @@ def midline(spark: SparkSession, d: str) -> DataFrame:
     return tiling.crossing(placed.where((F.col("tcol") > 0) & (F.col("at") < OVERLAP)), OVERLAP)
 
 
-@query(f"""WITH {_NAMED}, links AS (
+_LINKS = f"""links AS (
 SELECT tcol, trow, local_id, 0 AS rank, tcol - 1 AS to_tcol, trow AS to_trow FROM s WHERE tcol > 0 AND col - xpos < {OVERLAP} GROUP BY ALL
 HAVING min(col - xpos) < {OVERLAP // 2} AND max(col - xpos) >= {OVERLAP // 2} UNION ALL
 SELECT tcol, trow, local_id, 1, tcol, trow - 1 FROM s WHERE trow > 0 AND row - ypos < {OVERLAP} GROUP BY ALL
@@ -463,23 +463,36 @@ HAVING min(row - ypos) < {OVERLAP // 2} AND max(row - ypos) >= {OVERLAP // 2}),
 c AS (SELECT l.*, b.local_id AS to_id, count(*) AS n FROM links l JOIN s a USING (tcol, trow, local_id)
 JOIN s b ON b.tcol = to_tcol AND b.trow = to_trow AND b.row = a.row AND b.col = a.col
 WHERE (rank = 0 AND a.col - a.xpos < {OVERLAP}) OR (rank = 1 AND a.row - a.ypos < {OVERLAP}) GROUP BY ALL),
-m AS (SELECT tcol, trow, local_id, rank, to_tcol, to_trow, arg_min(to_id, (-n, to_id)) AS to_id FROM c GROUP BY ALL)
-SELECT tcol, trow, local_id, to_tcol, to_trow, to_id FROM m QUALIFY row_number() OVER (PARTITION BY tcol, trow, local_id ORDER BY rank) = 1""")
+m AS (SELECT tcol, trow, local_id, rank, to_tcol, to_trow, arg_min(to_id, (-n, to_id)) AS to_id FROM c GROUP BY ALL),
+l AS (SELECT tcol, trow, local_id, to_tcol, to_trow, to_id FROM m QUALIFY row_number() OVER (PARTITION BY tcol, trow, local_id ORDER BY rank) = 1)"""
+
+
+@query(f"WITH {_NAMED}, {_LINKS} SELECT * FROM l")
 def overlap_mode(spark: SparkSession, d: str) -> DataFrame:
     return tiling.overlap_links(*_tile_seg(spark, d), OVERLAP)
 
 
-@query(f"""WITH {_NAMED}, k AS (SELECT *, xpos + CASE WHEN tcol > 0 THEN {OVERLAP // 2} ELSE 0 END AS lo,
+_BOXES = f"""k AS (SELECT *, xpos + CASE WHEN tcol > 0 THEN {OVERLAP // 2} ELSE 0 END AS lo,
 xpos + xlen - CASE WHEN tcol < (SELECT max(tcol) FROM t) THEN {OVERLAP // 2} ELSE 0 END AS hi,
 ypos + CASE WHEN trow > 0 THEN {OVERLAP // 2} ELSE 0 END AS top,
-ypos + ylen - CASE WHEN trow < (SELECT max(trow) FROM t) THEN {OVERLAP // 2} ELSE 0 END AS bottom FROM s)
-SELECT tcol, trow, local_id, min(col) >= any_value(lo) AND min(col) < any_value(hi) AND min(row) >= any_value(top) AND min(row) < any_value(bottom) AS owned
-FROM k GROUP BY tcol, trow, local_id""")
+ypos + ylen - CASE WHEN trow < (SELECT max(trow) FROM t) THEN {OVERLAP // 2} ELSE 0 END AS bottom FROM s),
+o AS (SELECT tcol, trow, local_id, min(col) >= any_value(lo) AND min(col) < any_value(hi) AND min(row) >= any_value(top) AND min(row) < any_value(bottom) AS owned
+FROM k GROUP BY tcol, trow, local_id)"""
+
+
+@query(f"WITH {_NAMED}, {_BOXES} SELECT * FROM o")
 def bbox_owner(spark: SparkSession, d: str) -> DataFrame:
     return tiling.box_owners(*_tile_seg(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NAMED}, {_LINKS}, {_BOXES},
+kept AS (SELECT * FROM k WHERE col >= lo AND col < hi AND row >= top AND row < bottom),
+reach AS (SELECT DISTINCT tcol, trow, local_id, tcol AS rc, trow AS rr, local_id AS rid FROM kept WHERE local_id <> 0
+  UNION ALL SELECT r.tcol, r.trow, r.local_id, to_tcol, to_trow, to_id FROM reach r JOIN l ON l.tcol = rc AND l.trow = rr AND l.local_id = rid),
+root AS (SELECT r.* FROM reach r ANTI JOIN l ON l.tcol = rc AND l.trow = rr AND l.local_id = rid),
+ids AS (SELECT rr, rc, rid, row_number() OVER (ORDER BY rr, rc, rid) AS seg_id FROM (SELECT DISTINCT rr, rc, rid FROM root) d
+  JOIN o ON o.tcol = rc AND o.trow = rr AND o.local_id = rid WHERE owned)
+SELECT row, col, coalesce(seg_id, 0) AS seg_id FROM kept LEFT JOIN root USING (tcol, trow, local_id) LEFT JOIN ids USING (rr, rc, rid)""")
 def stitch(spark: SparkSession, d: str) -> DataFrame:
     return tiling.stitch(*_tile_seg(spark, d), OVERLAP)
 
@@ -546,7 +559,9 @@ def colour_stretch(spark: SparkSession, d: str) -> DataFrame:
     return tables.stretched_colours(table, "s_acctbal", "s_acctbal", "flat")
 
 
-@query()
+@query(f"""WITH {ZONES}, h AS (SELECT DISTINCT seg_id, md5('0:' || seg_id) AS h FROM z) SELECT seg_id,
+CAST('0x' || h[1:2] AS INTEGER) AS "Red", CAST('0x' || h[3:4] AS INTEGER) AS "Green", CAST('0x' || h[5:6] AS INTEGER) AS "Blue",
+CASE WHEN seg_id = 0 THEN 0 ELSE 255 END AS "Alpha" FROM h""")
 def random_colours(spark: SparkSession, d: str) -> DataFrame:
     return tables.random_colours(zonal.segment_sizes(_zones(spark, d)))
 
@@ -602,8 +617,8 @@ def edge8_udf(spark: SparkSession, d: str) -> DataFrame:
 
 _VAR = ", ".join(f"coalesce(round(sqrt(avg(CASE WHEN bin = {i} THEN d END)), 3), {MISSING}) AS variogram{i}" for i in (1, 2, 3))
 _VARIOGRAM = f"""WITH {ZONES}, p AS (SELECT a.seg_id, CAST(floor(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) AS INTEGER) AS bin,
-(a.b1 - b.b1) * (a.b1 - b.b1) AS d FROM z a JOIN z b ON a.seg_id = b.seg_id AND a.row < b.row AND a.col <> b.col
-AND b.row - a.row <= 3 AND abs(a.col - b.col) <= 3)
+(a.b1 - b.b1) * (a.b1 - b.b1) AS d FROM z a JOIN z b ON a.seg_id = b.seg_id AND a.row < b.row AND a.col < b.col
+AND b.row - a.row <= 3 AND b.col - a.col <= 3)
 SELECT s.seg_id, {_VAR} FROM (SELECT DISTINCT seg_id FROM z) s LEFT JOIN p ON p.seg_id = s.seg_id AND bin <= 3 GROUP BY ALL"""
 
 
@@ -639,10 +654,13 @@ def stream_completion(spark: SparkSession, d: str) -> DataFrame:
     sizes = known.groupBy((F.col("user_id") + 1).alias("seg_id")).agg(F.count("*").alias("expected"))
     stream = spark.readStream.schema(known.schema).parquet(f"{d}/events.parque[t]")
     rows = stream.select((F.col("user_id") + 1).alias("seg_id"), F.floor("value").cast("bigint").alias("value"))
-    query = completed_segments(rows.join(sizes, "seg_id")).writeStream.format("memory").queryName(name).outputMode("append")
-    run = query.option("checkpointLocation", f"{shared_dir(spark)}/{name}").start()
+    folder = f"{shared_dir(spark)}/{name}"
+    query = completed_segments(rows.join(sizes, "seg_id")).writeStream.format("parquet").outputMode("append")
+    run = query.option("checkpointLocation", f"{folder}-state").start(folder)
     try:
         run.processAllAvailable()
     finally:
         run.stop()
-    return spark.table(name)
+    done = spark.read.schema(OUT).parquet(folder)
+    check_complete(done, sizes)
+    return done

@@ -14,10 +14,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from mosaique.sources.raster import RasterError
+from mosaique.sources.raster import RasterError, meta_of
 
 # The format's codes of data types.
 TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
@@ -122,5 +122,19 @@ class EnviSource(DataSource):
         return EnviReader(self.options["path"], self._layout())
 
 
+def meta(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """Size, no-data value and, where the header has map info, transform and projection of a file."""
+    with _open(header or re.sub(r"(\.\w+)?$", ".hdr", path, count=1)) as f:
+        fields = parse_header(f.read().decode("latin-1"))
+    own = Layout(fields)
+    gt = None
+    if "map info" in fields:
+        info = [x.strip() for x in fields["map info"].strip("{} ").split(",")]
+        col, row, x, y, dx, dy = map(float, info[1:7])
+        gt = [x - (col - 1) * dx, dx, 0.0, y + (row - 1) * dy, 0.0, -dy]
+    nodata = [None if own.ignore is None else float(own.ignore)] * own.bands
+    return meta_of(spark, own.samples, own.lines, fields.get("coordinate system string", "").strip("{} "), gt, nodata)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(EnviSource)

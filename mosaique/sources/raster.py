@@ -123,6 +123,19 @@ def write(pixels: DataFrame, path: str, block: int = BLOCK) -> None:
     )
 
 
+def write_meta(meta: DataFrame, path: str) -> None:
+    """A raster's one row of metadata, in a folder inside its own that readers of pixels pass over."""
+    meta.coalesce(1).write.parquet(f"{path}/_meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> DataFrame | None:
+    """The metadata of a raster written with it, else None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(META).parquet(f"{path}/_meta")
+
+
 def read(spark: SparkSession, path: str, win: tuple[int, int, int, int] | None = None, block: int = BLOCK) -> DataFrame:
     """A raster written by :func:`write`, or one window (xoff, yoff, xsize, ysize) of it."""
     pixels = spark.read.parquet(path)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mosaique.sources.raster import RasterError
+
 STATE = "n bigint, valid bigint, total bigint, low bigint, high bigint"
 OUT = "seg_id bigint, n bigint, valid bigint, total bigint, low bigint, high bigint"
 
@@ -35,6 +37,15 @@ def _add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         state.update((n, valid, total, low, high))
 
 
+def check_complete(done: DataFrame, sizes: DataFrame) -> None:
+    """An error where the stream has ended and segments of ``sizes`` (seg_id, expected) are not in ``done``."""
+    missing = sizes.where("seg_id <> 0 AND expected > 0").join(done, "seg_id", "left_anti")
+    n = missing.count()
+    if n:
+        some = ", ".join(str(r["seg_id"]) for r in missing.select("seg_id").orderBy("seg_id").limit(5).collect())
+        raise RasterError(f"{n} segments are incomplete: {some}")
+
+
 def completed_segments(stream: DataFrame) -> DataFrame:
     """(seg_id, n, valid, total, low, high) of segments as they complete; works on streams only."""
     return stream.groupBy("seg_id").applyInPandasWithState(_add, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

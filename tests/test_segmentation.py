@@ -73,7 +73,7 @@ def test_variogram_and_edges(spark):
     img = pixels(spark, [[1, 2, 4], [3, 5, 9], [1, 1, 1]])
     valued = img.selectExpr("row", "col", "b1", "1L AS seg_id")
     got = neighbours.variogram(valued, 3).first()
-    diag = [(1, 5), (2, 9), (3, 1), (5, 1), (2, 3), (4, 5), (5, 1), (9, 1)]
+    diag = [(1, 5), (2, 9), (3, 1), (5, 1)]  # to the lower right; the other diagonal does not count
     assert got["variogram1"] == pytest.approx((sum((a - b) ** 2 for a, b in diag) / len(diag)) ** 0.5)
     assert got["variogram3"] == -9999
     again = spatial.spatial_stats(valued, [(f"v{i}", "float") for i in (1, 2, 3)], "variogram", 3).first()

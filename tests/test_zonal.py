@@ -1,10 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mosaique.functions.stats import MISSING
-from mosaique.operators import rat, zonal
+from mosaique.operators import neighbours as nb
+from mosaique.operators import rat, spatial, zonal
 from mosaique.operators.zonal import Stat
 from mosaique.sources.raster import RasterError
+from tests.grids import pixels
 
 ALL = [
     Stat("lo", "min"), Stat("hi", "max"), Stat("mean", "mean"), Stat("sd", "stddev"), Stat("mode", "mode"),
@@ -72,3 +75,27 @@ def test_colours_and_levels(spark):
     assert colours.where("seg_id = 0").first()["Alpha"] == 0
     assert rat.tiled_levels(8000, 8000) == [4, 8] and rat.tiled_levels(1000, 1000) == []
     assert rat.fixed_levels(1000, 2000) == [4, 8]
+
+
+def test_variogram_takes_pairs_to_the_lower_right(spark):
+    # the two diagonals differ: only 0-3 counts at distance 1
+    grid = np.array([[0, 10], [20, 3]])
+    own = pixels(spark, grid).withColumn("seg_id", F.lit(1).cast("bigint"))
+    assert nb.variogram(own, 1).first()["variogram1"] == 3.0
+    got = spatial.spatial_stats(own, [("variogram1", "float")], "variogram", 1).first()
+    assert got["variogram1"] == 3.0
+
+
+def test_exact_percentiles_beside_percentile(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(x),) for x in rng.integers(0, 40, 301)] + [(None,)], "v double").repartition(5)
+    shares = [0.0, 0.05, 0.333, 0.5, 0.95, 1.0]
+    assert rat.exact_percentiles(df, "v", shares) == pytest.approx(df.agg(F.percentile("v", shares)).first()[0])
+    assert rat.exact_percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_attributes_of_pixels_without_a_row(spark):
+    seg = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, 7)], "row int, col int, seg_id bigint")
+    table = spark.createDataFrame([(0, 5), (1, 6)], "seg_id bigint, a bigint")
+    got = {r["col"]: r["a"] for r in rat.pixel_attribute(seg, table, "a").collect()}
+    assert got == {0: -9999, 1: 6, 2: -9999}
