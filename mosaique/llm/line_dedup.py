@@ -5,15 +5,14 @@ at both ends with A-Z lower-cased. Keys of at least ``min_chars`` code points
 that ``min_docs`` documents hold lose all their lines except in the largest
 doc_id that holds them.
 
-Lines are dealt out by ranges of their key's 128-bit hash and sorted by hash,
-document (largest first) and position; the first document of each run of equal
-hashes keeps its lines and, in one pass over the run, the others lose theirs.
-What comes back per document is a sparse bitmap of dropped positions, 64 to a
-word, without empty words: no text moves with the lines. A bounded
-frequent-items sketch names the few hashes that may hold a large share of all
-lines; these are also dealt by document, and their totals, at most
-``HOT_KEYS`` rows, are broadcast. A key the sketch misses gives the same result
-in one task.
+Keys are taken once and written as 128-bit hashes. Lines are dealt out by ranges
+of the hash and sorted by hash, document (largest first) and position; the first
+document of each run of equal hashes keeps its lines and, in one pass over the
+run, the others lose theirs. What comes back per document is a bitmap of the
+lines it keeps, 64 to a word, compressed by leaving out words that keep all: no
+text moves with the lines. Hashes that may hold over one line in ``HOT`` are
+also dealt by document, and their totals are broadcast; by that definition there
+are at most ``HOT`` of them, which a frequent-items sketch of more rows names.
 
 Rows: a null or empty text is one empty line. A repeated doc_id counts as one
 document, and each of its rows is judged by itself. A null doc_id counts as one
@@ -27,8 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes that are dealt by document too, and the rows the sketch keeps.
-HOT_KEYS, SKETCH_ROWS = 64, 4096
+from mosaique.operators.graph import cut
+
+#: A hash with over one line in so many is dealt by document too; rows that the sketch keeps.
+HOT, SKETCH_ROWS = 1024, 16384
 
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,17 +60,18 @@ def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _hot_keys(lines: DataFrame) -> list[int]:
-    """At most HOT_KEYS values of h1 that may hold over one line in SKETCH_ROWS."""
-    top = lines.agg(F.expr(f"approx_top_k(h1, {HOT_KEYS}, {SKETCH_ROWS})").alias("top"), F.count("*").alias("n")).first()
-    return [x["item"] for x in top["top"] or [] if x["count"] * SKETCH_ROWS >= top["n"] and x["count"] > 1000]
+    """The values of h1 that may hold over one line in HOT, so HOT at most."""
+    top = lines.agg(F.expr(f"approx_top_k(h1, {HOT}, {SKETCH_ROWS})").alias("top"), F.count("*").alias("n")).first()
+    return [x["item"] for x in top["top"] or [] if x["count"] > 1 and x["count"] * HOT >= top["n"]]
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, row, words): for rows that lose lines, a sparse bitmap of their positions.
+    """(doc_id, row, words): for rows that lose lines, the compressed bitmap of the lines they keep.
 
-    ``words`` maps position div 64 to the long whose bit position mod 64 is set.
+    ``words`` maps position div 64 to the long whose bit position mod 64 is set where the line stays;
+    words of which all lines stay are not in it.
     """
-    lines = _long_lines(docs, min_chars)
+    lines = cut(_long_lines(docs, min_chars))
     hot = _hot_keys(lines)
     is_hot = F.col("h1").isin(hot)
     key = ["h1", "h2"]
@@ -79,11 +81,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
         key = [*key, "salt"]
     # ranges of the hash are clustered by it, so the windows need no other exchange
     run = Window.partitionBy(*key)
+    largest_first = F.col("doc_id").desc_nulls_last()
     judged = (
         dealt.repartitionByRange(*key)
-        .withColumn("place", F.dense_rank().over(run.orderBy(F.col("doc_id").desc_nulls_last())))
+        .withColumn("place", F.dense_rank().over(run.orderBy(largest_first)))
+        .withColumn("largest", F.first("doc_id").over(run.orderBy(largest_first, "row", "pos")))
         .withColumn("docs", F.max("place").over(run))
-        .withColumn("largest", F.max("doc_id").over(run))
     )
     if hot:
         totals = (
@@ -93,7 +96,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
             .groupBy("h1", "h2")
             .agg(F.count("*").alias("all_docs"), F.max("doc_id").alias("all_largest"))
         )
-        # a hash of 64 bits that is hot stands for HOT_KEYS rows at most, but for chance
+        # a row for each hot hash, at most HOT but for chance collisions of its first half
         judged = judged.join(F.broadcast(totals), ["h1", "h2"], "left").select(
             "doc_id",
             "row",
@@ -103,7 +106,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
         )
     gone = judged.where((F.col("docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("largest")))
     words = gone.groupBy("doc_id", "row", F.expr("pos div 64").cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
+        F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits")
     )
     return words.groupBy("doc_id", "row").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words")
@@ -122,11 +125,11 @@ def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame,
 
     def keep(_line: Column, pos: Column) -> Column:
         bits = F.try_element_at(F.col("words"), F.shiftright(pos, 6))
-        return F.coalesce(F.getbit(bits, F.pmod(pos, F.lit(64))) == 0, F.lit(True))
+        return F.coalesce(F.getbit(bits, F.pmod(pos, F.lit(64))) == 1, F.lit(True))
 
     kept = F.when(F.col("words").isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), keep), "\n"))
     n_dropped = F.when(F.col("words").isNull(), F.lit(0).cast("long")).otherwise(
-        F.aggregate(F.map_values("words"), F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+        F.aggregate(F.map_values("words"), F.lit(0).cast("long"), lambda n, w: n + 64 - F.bit_count(w))
     )
     return joined, kept, n_dropped
 
