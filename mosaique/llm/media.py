@@ -7,7 +7,8 @@ chooses among them. :func:`sniff` judges any binary column: an Aho-Corasick
 automaton finds the magic bytes of all formats in one scan, and a format's
 validator confirms each find by its structure and lengths. The one at offset 0
 names the value's type, whatever was declared; those further on that are whole
-are carved.
+are carved, files within the value's own file among them. Ends of PDF and ZIP
+files are collected in one pass over a value, so long values take linear time.
 
 Rows: a null text is empty; a null or empty binary has no type and nothing
 embedded. Null and repeated ids keep their rows. An empty table gives an empty
@@ -18,10 +19,11 @@ stored whole. Fixed values are the formats' published signatures.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -154,22 +156,75 @@ def _riff(b: bytes, at: int) -> Found | None:
     return (kind, size + 8, detail) if pos in (stop, stop + 1) else None
 
 
-def _pdf(b: bytes, at: int) -> Found | None:
-    if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
-        return None
-    stop = b.find(b"%%EOF", at)
-    return ("application/pdf", stop + 5 - at, b[at + 5 : at + 8].decode("ascii")) if stop > 0 else None
+_PDF_PARTS = re.compile(rb"%PDF-(?=\d\.\d)|startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF|(?<![a-z])xref|(?<!\d)\d{1,10} \d{1,5} obj")
+_XREF = re.compile(rb"xref|\d{1,10} \d{1,5} obj")
 
 
-def _zip(b: bytes, at: int) -> Found | None:
-    """An end record whose directory lies where it says."""
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    n, size, offset, note = struct.unpack_from("<HIIH", b, end + 10)
-    if at + offset + size != end or b[at + offset : at + offset + 4] != b"PK\x01\x02" or end + 22 + note > len(b):
-        return None
-    return "application/zip", end + 22 + note - at, str(n)
+def _pdf_ends(b: bytes) -> dict[int, int]:
+    """Where each PDF of ``b`` ends, by the offset of its header: after the last ``%%EOF`` whose cross-reference
+    table lies where ``startxref`` says, from that header.
+
+    One pass; a table belongs to the header that its own place and offset point to, or to the last one
+    open or closed, as in files whose last section refers to the first table (an offset of 0 refers to a later one).
+    """
+    ends: dict[int, int] = {}
+    headers: set[int] = set()
+    opened: list[int] = []
+    table = closed = -1
+    for m in _PDF_PARTS.finditer(b):
+        what = m[0]
+        if what.startswith(b"%PDF-"):
+            headers.add(m.start())
+            opened.append(m.start())
+        elif not what.startswith(b"startxref"):
+            table = m.start()
+        else:
+            offset = int(m[1])
+            for at in (table - offset, opened[-1] if opened else -1, closed):
+                if at in headers and offset and at + offset < m.start() and _XREF.match(b, at + offset):
+                    ends[at] = m.end()
+                    closed = at
+                    while opened and opened[-1] >= at:  # what was opened within it was no file
+                        opened.pop()
+                    break
+    return ends
+
+
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Where each archive of ``b`` ends, by its first offset: an end record tells where its directory and archive begin."""
+    ends, e = {}, b.find(b"PK\x05\x06")
+    while e >= 0 and e + 22 <= len(b):
+        n, size, offset, note = struct.unpack_from("<HIIH", b, e + 10)
+        at = e - size - offset
+        if at >= 0 and 46 * n <= size and b[e - size : e - size + 4] == b"PK\x01\x02" and e + 22 + note <= len(b):
+            ends[at] = e + 22 + note
+        e = b.find(b"PK\x05\x06", e + 1)
+    return ends
+
+
+class _Ends:
+    """End records of a value, looked for once and only where a header of their family is found."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+
+    @cached_property
+    def pdf(self) -> dict[int, int]:
+        return _pdf_ends(self.b)
+
+    @cached_property
+    def zip(self) -> dict[int, int]:
+        return _zip_ends(self.b)
+
+
+def _pdf(b: bytes, at: int, ends: _Ends) -> Found | None:
+    stop = ends.pdf.get(at)
+    return ("application/pdf", stop - at, b[at + 5 : at + 8].decode("ascii")) if stop else None
+
+
+def _zip(b: bytes, at: int, ends: _Ends) -> Found | None:
+    stop = ends.zip.get(at)
+    return ("application/zip", stop - at, "") if stop else None
 
 
 def _gzip(b: bytes, at: int) -> Found | None:
@@ -232,33 +287,54 @@ def _mp4(b: bytes, at: int) -> Found | None:
     return ("video/mp4", pos - at, brand.decode("latin-1")) if movie else None
 
 
+#: Tags of a TIFF directory that hold places of data, with the tags of their lengths: strips, tiles, a JPEG stream.
+TIFF_DATA = {273: 279, 324: 325, 513: 514}
+TIFF_SIZES = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
+
+
 def _tiff(b: bytes, at: int) -> Found | None:
-    """A directory whose entries lie inside; its length is that of the furthest of them."""
+    """Directories whose entries and data lie inside; the length is that of the furthest of them."""
     e = "<" if b[at : at + 1] == b"I" else ">"
     if at + 8 > len(b):
         return None
     (pos,) = struct.unpack_from(e + "I", b, at + 4)
-    if pos < 8 or at + pos + 2 > len(b):
-        return None
-    (n,) = struct.unpack_from(e + "H", b, at + pos)
-    stop = pos + 2 + 12 * n + 4
-    if not n or at + stop > len(b):
-        return None
-    tags = []
-    for i in range(n):
-        tag, kind, count, value = struct.unpack_from(e + "HHII", b, at + pos + 2 + 12 * i)
-        if not 1 <= kind <= 12:
+    stop, seen = 8, set()
+    while pos:
+        if pos < 8 or pos in seen or at + pos + 2 > len(b):
             return None
-        size = count * (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)[kind]
-        stop = max(stop, value + size if size > 4 else 0)
-        tags.append(tag)
-    return ("image/tiff", stop, str(n)) if tags == sorted(tags) and at + stop <= len(b) else None
+        seen.add(pos)
+        (n,) = struct.unpack_from(e + "H", b, at + pos)
+        if not n or at + pos + 6 + 12 * n > len(b):
+            return None
+        stop = max(stop, pos + 6 + 12 * n)
+        tags, values = [], {}
+        for i in range(n):
+            place = pos + 2 + 12 * i
+            tag, kind, count, value = struct.unpack_from(e + "HHII", b, at + place)
+            if not 1 <= kind <= 12:
+                return None
+            size = count * TIFF_SIZES[kind]
+            place = value if size > 4 else place + 8
+            if at + place + size > len(b):
+                return None
+            stop = max(stop, place + size)
+            tags.append(tag)
+            if kind in (3, 4) and (tag in TIFF_DATA or tag in TIFF_DATA.values()):
+                values[tag] = struct.unpack_from(f"{e}{count}{'H' if kind == 3 else 'I'}", b, at + place)
+        if tags != sorted(tags):
+            return None
+        for places, lengths in TIFF_DATA.items():
+            stop = max([stop, *(x + y for x, y in zip(values.get(places, ()), values.get(lengths, ())))])
+        (pos,) = struct.unpack_from(e + "I", b, at + pos + 2 + 12 * n)
+    return ("image/tiff", stop, str(len(seen))) if seen and at + stop <= len(b) else None
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], Found | None]] = {
-    "png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "riff": _riff, "pdf": _pdf, "zip": _zip,
+    "png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "riff": _riff,
     "gzip": _gzip, "flac": _flac, "ogg": _ogg, "mp4": _mp4, "tiff": _tiff,
 }
+#: Families whose ends are told by records further on.
+ENDED = {"pdf": _pdf, "zip": _zip}
 
 
 @lru_cache(maxsize=1)
@@ -273,20 +349,16 @@ def _automaton():
 
 
 def finds(content: bytes) -> list[tuple[int, Found]]:
-    """Confirmed media in ``content`` as (offset, found), by offset; the longest of those at one offset.
-
-    Within a file, signatures of its own family are taken for parts of it.
-    """
+    """Confirmed media in ``content`` as (offset, found), by offset; the longest of those at one offset."""
     best: dict[int, Found] = {}
-    inside: dict[str, int] = {}  # where the last confirmed file of a family ends
+    ends = _Ends(content)
     for end, (back, family) in _automaton().iter(content.decode("latin-1")):
         at = end - back
-        if at < inside.get(family, 0):
+        if at < 0:
             continue
-        if x := VALIDATORS[family](content, at):
-            inside[family] = at + x[1]
-            if x[1] > best.get(at, ("", 0, ""))[1]:
-                best[at] = x
+        x = ENDED[family](content, at, ends) if family in ENDED else VALIDATORS[family](content, at)
+        if x and x[1] > best.get(at, ("", 0, ""))[1]:
+            best[at] = x
     return sorted(best.items())
 
 

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import struct
 import re
 import zipfile
 import zlib
@@ -132,6 +133,56 @@ def test_carving(spark):
     assert carved == sorted(zip(at, files))
 
 
+def pdf(body=b"text", updates=0):
+    """A file with a table of its own, and so many updates appended."""
+    out = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+    for _ in range(updates + 1):
+        at = len(out)
+        out += b"xref\n0 1\n0000000000 65535 f\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % at
+    return out[:-1]
+
+
+def tiff(pixels=b"p" * 50):
+    entries = [(256, 3, 1, 5), (257, 3, 1, 10), (273, 4, 1, 8 + 2 + 48 + 4), (279, 4, 1, len(pixels))]
+    ifd = struct.pack("<H", 4) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<I", 8) + ifd + pixels
+
+
+def zipped(name, data):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr(name, data)
+    return z.getvalue()
+
+
+def test_whole_files_to_their_real_ends():
+    inner = zipped("a.txt", "hello")
+    nested = zipped("b.zip", inner)
+    small = media.encode(b"q" * 192)
+    for f in (pdf(), pdf(updates=2), pdf(pdf(b"inner", 1), 1), nested, tiff()):
+        own, _ = media.judge(f + b" more")
+        assert own is not None and own[1] == len(f)
+        assert [(at, x[1]) for at, x in media.judge(b"text " + f + b" more")[1]][0] == (5, len(f))
+    assert (nested.index(inner), len(inner)) in [(at, x[1]) for at, x in media.judge(nested)[1]]
+    assert media.judge(b"says %PDF-1.4 and then %%EOF")[1] == []
+    assert media.judge(pdf()[:-30] + b"startxref\n7\n%%EOF")[0] is None
+    both = pdf(b"a") + b" and " + pdf(b"b", 1)
+    assert [x[1] for _, x in media.finds(both)] == [len(pdf(b"a")), len(pdf(b"b", 1))]
+    bmp = next(c for c in (media.encode(bytes([i]) * 192) for i in range(20)) if c[:2] == b"BM")
+    outer = next(c for c in (media.encode((bytes([i]) * 6 + bmp).ljust(384)) for i in range(60)) if c[:2] == b"BM")
+    assert [x[1] for _, x in media.judge(outer)[1]] == [len(bmp)]  # of its own family
+    assert small and len(media.finds(outer)) == 2
+
+
+def test_long_texts_of_headers_take_linear_time():
+    import time
+
+    for unit in (b"%PDF-1.4 ", b"PK\x03\x04", b"%PDF-1.4 startxref\n9\n%%EOF ", b"PK\x03\x04PK\x05\x06" + bytes(18)):
+        start = time.perf_counter()
+        media.finds(unit * (2_000_000 // len(unit)))
+        assert time.perf_counter() - start < 8
+
+
 def test_media_digest(spark):
     texts = [None, "", "é" * 96, "a" * 192, "b" * 193, "BM %PDF-1.4 %%EOF", "x" * 400_000]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, "a" * 192, "c"), (3, "a" * 192, "c")], "doc_id long, text string, content string")
@@ -212,7 +263,9 @@ def brute_cost(pos, penalty, size):
     for j in range(1, len(pos)):
         for i in range(j):
             if pos[j] - pos[i] <= size:
-                best[j] = min(best[j], best[i] + penalty[j] + size - (pos[j] - pos[i]))
+                width = pos[j] - pos[i]
+                padding = 0 if width in (size // 2, size // 4, size // 8) else size - width  # at a power of two
+                best[j] = min(best[j], best[i] + penalty[j] + padding)
     return best[-1]
 
 
@@ -224,7 +277,22 @@ def test_cuts_are_the_cheapest():
         cuts = packing.best_cuts(pos, penalty, 16)
         widths = np.diff(pos[cuts])
         assert cuts[0] == 0 and cuts[-1] == len(pos) - 1 and widths.max() <= 16
-        assert (16 - widths).sum() + penalty[cuts[1:]].sum() == pytest.approx(brute_cost(pos, penalty, 16))
+        padding = np.where(np.isin(widths, [2, 4, 8]), 0, 16 - widths)
+        assert padding.sum() + penalty[cuts[1:]].sum() == pytest.approx(brute_cost(pos, penalty, 16))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 16, 63])
+def test_windows_of_any_size(size):
+    rng = np.random.default_rng(5)
+    ends = rng.random(100) < 0.02
+    packer = packing.Packer(ends, size, 8.0, 16.0, 0)
+    docs = [rng.integers(0, 100, n).astype("<u4") for n in (1, 300, 2, 90, 1)] * 2  # an id may repeat
+    rows = [r for i, d in enumerate(docs) for r in packer.add(i % 5, d)] + packer.pack(True)
+    assert sum(r[2] for r in rows) == sum(map(len, docs))
+    lengths = {}
+    for r in rows:
+        lengths[r[5]] = lengths.get(r[5], 0) + r[2]
+    assert max(lengths.values()) <= size
 
 
 PACKED = [None, "", "One. Two! Three?", "word " * 20_000, "ünïcode ß ſ İ 日本 <|endoftext|>", "a | b | c " * 400, "it's\x01 'd", "END. " * 3]
