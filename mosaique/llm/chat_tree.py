@@ -12,9 +12,11 @@ depth-first. The sort deals paths out by ranges, so a first turn that a third of
 all conversations share spans many tasks; what a task's first path shares with
 the path before it is not emitted again. A node's row has its place in the
 stream, its position ids (which go on from its parent's) and the stream
-intervals of its ancestors, all that its tokens may attend to besides
-themselves. Reading a conversation back takes its last node's intervals and
-nothing else.
+intervals of its ancestors, neighbouring ones as one, all that its tokens may
+attend to besides themselves; a conversation that nothing branches off has one
+interval at each of its turns. Reading a conversation back takes the nodes from
+its last one up and nothing else, once for all equal conversations; what a
+conversation with a large share of all copies holds is dealt out by conv_id too.
 
 Turns are ordered by turn, then role and text; repeated rows are turns of their
 own. Null roles and texts are empty; a null turn comes first; rows with a null
@@ -39,6 +41,8 @@ from mosaique.llm.common import cut
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Bytes of a node's hash, which covers all turns up to it.
 HASH = 16
+#: A leaf with over one conversation in HOT is dealt out in SPLIT parts.
+HOT, SPLIT = 1024, 64
 
 
 def escape(text: str) -> str:
@@ -170,12 +174,27 @@ def _begins(ends: list) -> dict[int, tuple[int, int, list[tuple[int, int]]]]:
 
 NODES = (
     "kind int, start long, length long, tokens array<int>, position long, "
-    "ancestors array<struct<start: long, length: long>>, leaf binary"
+    "ancestors array<struct<start: long, length: long>>, starts array<long>, leaf binary"
 )
 
 
+def intervals(stack: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, length) of the nodes of a path, neighbouring ones as one."""
+    out: list[tuple[int, int]] = []
+    for start, n in stack:
+        if out and sum(out[-1]) == start:
+            out[-1] = out[-1][0], out[-1][1] + n
+        else:
+            out.append((start, n))
+    return out
+
+
+def _structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": s, "length": n} for s, n in spans]
+
+
 class _Emitter:
-    """Walks a partition's paths in order. Rows of kind 0 are nodes; those of kind 1 name a path's leaf and intervals."""
+    """Walks a partition's paths in order. Rows of kind 0 are nodes; those of kind 1 have a path's leaf, intervals and nodes."""
 
     def __init__(self, begin):
         self.place, self.again, self.held = begin
@@ -189,15 +208,15 @@ class _Emitter:
                 self.stack, ids = list(self.held), ids[self.again :]
             else:
                 self.stack = self.stack[:at]
+            up, position = intervals(self.stack), sum(n for _, n in self.stack)
             for tokens in ids:
-                up = [{"start": s, "length": n} for s, n in self.stack]
-                position = sum(n for _, n in self.stack)
-                out.append((0, self.place, len(tokens), tokens, position, up, None))
+                out.append((0, self.place, len(tokens), tokens, position, _structs(up), None, None))
                 self.stack.append((self.place, len(tokens)))
+                up = intervals([*up, self.stack[-1]])
                 self.place += len(tokens)
-            up = [{"start": s, "length": n} for s, n in self.stack]
-            out.append((1, None, None, None, None, up, raw[-HASH:]))
-        columns = ["kind", "start", "length", "tokens", "position", "ancestors", "leaf"]
+                position += len(tokens)
+            out.append((1, None, None, None, None, _structs(up), [s for s, _ in self.stack], raw[-HASH:]))
+        columns = ["kind", "start", "length", "tokens", "position", "ancestors", "starts", "leaf"]
         pdf = pd.DataFrame(out, columns=columns)
         return pdf.astype({c: "Int64" for c in ("start", "length", "position")})
 
@@ -218,8 +237,8 @@ def tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame
     """(nodes, conversations) of ``turns`` (conv_id, turn, role, text).
 
     nodes: start, length, tokens, position (of the first token; the others
-    follow), ancestors (intervals of the stream). conversations: conv_id and
-    intervals, those of all its turns in order.
+    follow), ancestors (intervals of the stream). conversations: conv_id, leaf,
+    intervals (all that they hold of the stream) and starts of their nodes in order.
     """
     turn = F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -246,14 +265,27 @@ def tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame
     ).collect()
     rows = cut(dealt.mapInPandas(_by_part(_begins(ends)), NODES))
     nodes = rows.where("kind = 0").select("start", "length", "tokens", "position", "ancestors")
-    leaves = rows.where("kind = 1").select(F.col("leaf"), F.col("ancestors").alias("intervals"))
+    leaves = rows.where("kind = 1").select("leaf", F.col("ancestors").alias("intervals"), "starts")
     leaf = F.expr(f"substring(path, -{HASH}, {HASH})")
-    conversations = paths.select("conv_id", leaf.alias("leaf")).join(leaves, "leaf").select("conv_id", "leaf", "intervals")
-    return nodes, conversations
+    return nodes, _with_leaf(paths.select("conv_id", leaf.alias("leaf")), leaves)
 
 
-def read_back(nodes: DataFrame, conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(conv_id, turns): each conversation's written turns, decoded from the nodes of its intervals."""
+def _with_leaf(named: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``named`` (conv_id, leaf) joined to one row per leaf; leaves with over one in HOT of all conversations are dealt out."""
+    n = named.count()
+    # HOT rows of a hash at most, by that definition
+    held = named.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") * HOT > max(n, HOT * SPLIT)).select("leaf").collect()
+    if not held:
+        return named.join(leaves, "leaf")
+    is_hot = F.col("leaf").isin([bytes(r["leaf"]) for r in held])
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("conv_id"), F.lit(SPLIT))).otherwise(F.lit(0)).cast("int")
+    dealt = leaves.withColumn("salt", F.explode(salts))
+    return named.withColumn("salt", salt).join(dealt, ["leaf", "salt"]).drop("salt")
+
+
+def read_leaves(nodes: DataFrame, conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(leaf, turns): each distinct conversation's written turns, decoded from its nodes."""
     path = tokenizer_path or default_path()
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,15 +296,20 @@ def read_back(nodes: DataFrame, conversations: DataFrame, tokenizer_path: str |
 
     texts = nodes.select("start", "tokens").mapInPandas(decoded, "start long, written string")
     # equal conversations are read back once
-    leaves = conversations.groupBy("leaf").agg(F.first("intervals").alias("intervals"))
-    steps = leaves.select("leaf", F.posexplode("intervals").alias("place", "i")).select("leaf", "place", F.col("i.start").alias("start"))
-    whole = (
+    leaves = conversations.groupBy("leaf").agg(F.first("starts").alias("starts"))
+    steps = leaves.select("leaf", F.posexplode("starts").alias("place", "start"))
+    return (
         steps.join(texts, "start")
         .groupBy("leaf")
         .agg(F.array_sort(F.collect_list(F.struct("place", "written"))).alias("turns"))
         .select("leaf", F.col("turns.written").alias("turns"))
     )
-    return conversations.select("conv_id", "leaf").join(whole, "leaf").select("conv_id", "turns")
+
+
+def read_back(nodes: DataFrame, conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(conv_id, turns): each conversation's written turns."""
+    whole = read_leaves(nodes, conversations, tokenizer_path)
+    return _with_leaf(conversations.select("conv_id", "leaf"), whole).select("conv_id", "turns")
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,17 +329,12 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
             )
         columns = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        yield pd.DataFrame(out, columns=columns).assign(conv_id=pdf["conv_id"])
+        yield pd.DataFrame(out, columns=columns).assign(leaf=pdf["leaf"])
 
 
 def digest(turns: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per conversation, read back from the tree; the loss mask covers what assistants say."""
-    told = read_back(*tree(turns, tokenizer_path), tokenizer_path)
-    return (
-        told.select(F.col("conv_id").cast("string"), "turns")
-        .mapInPandas(
-            _digested,
-            "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, conv_id string",
-        )
-        .withColumn("conv_id", F.col("conv_id").cast("long"))
-    )
+    nodes, conversations = tree(turns, tokenizer_path)
+    columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    read = read_leaves(nodes, conversations, tokenizer_path).mapInPandas(_digested, f"{columns}, leaf binary")
+    return _with_leaf(conversations.select("conv_id", "leaf"), read).drop("leaf")

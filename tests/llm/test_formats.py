@@ -51,17 +51,25 @@ def test_chat_tree(spark):
     assert len(found) == len(prefixes)  # shared turns are emitted once
     assert found[0]["start"] == 0 and all(a["start"] + a["length"] == b["start"] for a, b in zip(found, found[1:]))
     by_start = {n["start"]: n for n in found}
-    for n in found:  # depth-first: ancestors come before, and positions go on from theirs
-        assert n["position"] == sum(a["length"] for a in n["ancestors"])
-        up = [a["start"] for a in n["ancestors"]]
-        assert up == sorted(up) and all(s < n["start"] for s in up)
-        if up:
-            assert [a["start"] for a in by_start[up[-1]]["ancestors"]] == up[:-1]
+    def span(spans):
+        return [i for x in spans for i in range(x["start"], x["start"] + x["length"])]
+
+    parent = {}
+    for c in convs.collect():  # ancestors come before, and positions go on from theirs
+        above = []
+        for i, start in enumerate(c["starts"]):
+            n = by_start[start]
+            parent[start] = c["starts"][i - 1] if i else None
+            assert span(n["ancestors"]) == span(above) and n["position"] == len(span(above))
+            assert all(x["start"] + x["length"] < y["start"] for x, y in zip(n["ancestors"], n["ancestors"][1:]))
+            above.append(n)
+        assert span(c["intervals"]) == span(above) and len(c["starts"]) == len(plain[c["conv_id"]])
     stack = []
-    for n in found:
-        up = [a["start"] for a in n["ancestors"]]
-        assert stack[: len(up)] == up
-        stack = [*up, n["start"]]
+    for n in found:  # depth-first
+        while stack and stack[-1] != parent[n["start"]]:
+            stack.pop()
+        assert bool(stack) == (parent[n["start"]] is not None)
+        stack.append(n["start"])
     got = {r["conv_id"]: r for r in chat_tree.digest(df).collect()}
     assert set(got) == set(plain)
     for c, turns in plain.items():
@@ -74,6 +82,24 @@ def test_chat_tree(spark):
     assert chat_tree.digest(df.limit(0)).count() == 0
 
 
+def test_long_and_repeated_conversations(spark, monkeypatch):
+    """A conversation of many turns has few intervals; one that most rows are copies of is dealt out."""
+    monkeypatch.setattr(chat_tree, "HOT", 4)
+    monkeypatch.setattr(chat_tree, "SPLIT", 3)
+    long_one = [(0, t, "user", f"turn {t} " + "x" * (40_000 if t == 7 else 3), "y") for t in range(300)]
+    copies = [(i, t, r, "same", "y") for i in range(1, 60) for t, r in enumerate(["user", "assistant"])]
+    repeated = [(100, 0, "user", "again", "y")] * 2 + [(None, None, None, None, "y"), (101, None, "user", "", "y")]
+    df = spark.createDataFrame(long_one + copies + repeated, "conv_id long, turn long, role string, text string, starts string")
+    nodes, convs = chat_tree.tree(df)
+    sizes = [len(n["ancestors"]) for n in nodes.collect()]
+    assert len(sizes) > 300 and max(sizes) <= 2
+    got = {r["conv_id"]: r for r in chat_tree.digest(df).collect()}
+    assert set(got) == {0, *range(1, 60), 100, 101, None} and got[0]["n_turns"] == 300 and got[100]["n_turns"] == 2
+    assert len({r["turns_sha256"] for c, r in got.items() if c and c < 60}) == 1
+    assert got[5]["turns_sha256"] == hashlib.sha256(b"user\nsame\nassistant\nsame\n").hexdigest() and got[5]["loss_chars"] == 4
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
+
+
 def test_what_partitions_share_is_emitted_once():
     """Partition ends put the pieces of a tree that spans partitions together."""
     h = lambda *xs: b"".join(bytes([x]) * chat_tree.HASH for x in xs)
