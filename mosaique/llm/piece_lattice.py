@@ -307,8 +307,9 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of each distinct word of ``words`` (word)."""
-    return fold(lattice(words.select("word").distinct(), pieces), pieces)
+    """(word, ids) of each distinct word of ``words`` (word), dealt out by word."""
+    parts = 2 * words.sparkSession.sparkContext.defaultParallelism
+    return fold(lattice(words.select("word").repartition(parts, "word").distinct(), pieces), pieces)
 
 
 def frequent_words(docs: DataFrame, limit: int) -> DataFrame:

@@ -4,8 +4,8 @@ Rules come first: a rule ``host/path`` fits its host and all subdomains where
 the url's path starts with the rule's; the longest that fits decides. Every
 other url gets the verdict of its path template, learned per host.
 
-A path's segments, at most ``DEPTH`` and the rest as one ``**``, have ids and
-digit runs replaced by ``#``. From the root down, where a node has more than
+A path's segments have ids and digit runs replaced by ``#``; what follows the
+first ``depth`` of them is one segment more, whole. From the root down, where a node has more than
 ``max_children`` children, those with less than ``min_share`` of its pages become
 ``*``. From the leaves up, siblings whose subtrees have the same templates and
 whose shares of blocked pages do not differ (by arcsine, in steps of two
@@ -22,7 +22,9 @@ The tree is built on distinct (host, path shape) rows with their counts, added
 up before they are dealt out, so a host with a third of all pages is no more
 than its distinct shapes, and no group is collected.
 
-Rows: a null url or one without ``://`` has an empty host and path. Null and
+Rows: a null url or one without ``://`` has an empty host and path. Urls of any
+length keep their whole path. Of siblings that become one branch the first in
+order gives the name; a purity right at ``purity`` rejects. Null and
 repeated page_ids keep their rows. Hosts have A-Z lower-cased and nothing else
 changed. An empty table gives an empty result. Other columns are ignored.
 """
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 
 from mosaique.llm.common import cut, drop_cut
 
-DEPTH = 8
 #: Standard error, in the arcsine scale, that a branch's share may have at most.
 STEP = 0.5
 
@@ -70,12 +71,13 @@ def rule_for(host: Column, path: Column, rules: list[str]) -> Column:
     return out
 
 
-def shape_of(path: Column) -> Column:
-    """The path's segments with ids and digit runs as ``#``; null for an empty path's missing ones."""
+def shape_of(path: Column, depth: int) -> Column:
+    """The path's segments with ids and digit runs as ``#``, those after the first ``depth`` as one; none for an empty path."""
     plain = F.regexp_replace(path, "(?i)(?=[a-f-]*[0-9])[0-9a-f]{8,}(-[0-9a-f]{4,})*", "#")
     parts = F.split(F.regexp_replace(plain, "[0-9]+", "#"), "/", -1)
     parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))  # what stands before the first / is empty
-    return F.when(F.size(parts) > DEPTH, F.array_append(F.slice(parts, 1, DEPTH), F.lit("**"))).otherwise(parts)
+    rest = F.array_join(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(1))), "/")
+    return F.when(F.size(parts) > depth, F.array_append(F.slice(parts, 1, depth), rest)).otherwise(parts)
 
 
 def _put(segs: Column, place: int, new: Column) -> Column:
@@ -89,10 +91,10 @@ def _step(nodes: DataFrame, old: DataFrame | None) -> DataFrame:
     return new
 
 
-def _generalised(shapes: DataFrame, max_children: int, min_share: float) -> DataFrame:
+def _generalised(shapes: DataFrame, max_children: int, min_share: float, depth: int) -> DataFrame:
     """``segs`` of (host, shape, segs, n, ..) with the rare of many siblings as ``*``, level by level."""
     now = _step(shapes, None)
-    for d in range(DEPTH):
+    for d in range(depth + 1):
         here = now.where(F.size("segs") > d)
         if here.isEmpty():
             break
@@ -119,7 +121,7 @@ def _merged(shapes: DataFrame, deepest: int) -> DataFrame:
     now = shapes
     for d in range(deepest - 1, -1, -1):
         here = now.where(F.size("segs") > d)
-        suffix = F.slice("segs", d + 2, DEPTH + 1)
+        suffix = F.slice("segs", d + 2, deepest)
         node = [F.col("host"), F.slice("segs", 1, d).alias("parent"), F.col("segs")[d].alias("seg")]
         # a sum over distinct templates does not depend on how many shapes lead to each
         forms = here.groupBy(*node, suffix.alias("suffix")).agg(
@@ -175,11 +177,11 @@ def _backed_off(nodes: DataFrame, keys: list[str], levels: Column, start: Column
 
 
 def templates(
-    pages: DataFrame, max_children: int = 16, min_share: float = 0.02, weight: float = 4.0, purity: float = 0.5
+    pages: DataFrame, max_children: int = 16, min_share: float = 0.02, weight: float = 4.0, purity: float = 0.5, depth: int = 8
 ) -> DataFrame:
     """(host, shape, template, purity) of ``pages`` (host, path, label: 1 blocked, 0 allowed, null)."""
     shapes = (
-        pages.groupBy("host", shape_of(F.col("path")).alias("shape"))
+        pages.groupBy("host", shape_of(F.col("path"), depth).alias("shape"))
         .agg(
             F.count("*").alias("n"),
             F.count("label").alias("labelled"),
@@ -187,7 +189,7 @@ def templates(
         )
         .withColumn("segs", F.col("shape"))
     )
-    now = _generalised(shapes, max_children, min_share)
+    now = _generalised(shapes, max_children, min_share, depth)
     sums = now.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("blocked")).first()
     now = _merged(now, sums[0] or 0)
     prior = min((sums[2] or 0) / max(1, sums[1] or 0), math.nextafter(purity, 0))
@@ -204,7 +206,7 @@ def templates(
 
 
 def judge(
-    pages: DataFrame, rules: dict[str, str], purity: float = 0.5, max_children: int = 16, min_share: float = 0.02
+    pages: DataFrame, rules: dict[str, str], purity: float = 0.5, max_children: int = 16, min_share: float = 0.02, depth: int = 8
 ) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, template, purity.
 
@@ -217,14 +219,14 @@ def judge(
     ruled = told[F.col("rule")] if told is not None else F.lit(None).cast("string")
     rows = rows.withColumn("ruled", ruled)
     learned = templates(
-        rows.select("host", "path", (F.col("ruled") == BLOCK).cast("int").alias("label")), max_children, min_share, purity=purity
+        rows.select("host", "path", (F.col("ruled") == BLOCK).cast("int").alias("label")), max_children, min_share, purity=purity, depth=depth
     ).withColumnsRenamed({"host": "_host", "shape": "_shape"})
     nothing = F.lit(None)
     first = rows.where(F.col("rule").isNotNull()).select(
         "page_id", "host", "path", "rule", F.col("ruled").alias("verdict"),
         nothing.cast("string").alias("template"), nothing.cast("double").alias("purity"),
     )
-    others = rows.where(F.col("rule").isNull()).withColumn("shape", shape_of(F.col("path")))
+    others = rows.where(F.col("rule").isNull()).withColumn("shape", shape_of(F.col("path"), depth))
     same = (F.col("host") == F.col("_host")) & (F.col("shape") == F.col("_shape"))
     rest = others.join(learned, same).select(
         "page_id", "host", "path", "rule",
