@@ -8,7 +8,10 @@ they cost linear time by 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2].
 
 Training takes at most ``sample`` labelled rows in the order of a hash of the
 id: their features, not their texts, go to the driver, where AdaGrad runs over
-mini-batches. Scoring covers all rows and whole texts.
+mini-batches. The machine's outputs are made probabilities by a logistic curve
+fitted to outputs for rows that machines trained on the other folds have not seen
+(Platt, 1999), so that few labels do not give scores all on one side. Scoring
+covers all rows and whole texts.
 
 Rows: null and empty texts have no words and the statistics of nothing. A null
 character count is taken from the text. Null and repeated doc_ids keep their
@@ -37,6 +40,8 @@ from mosaique.llm.common import labelled_sample
 BUCKETS, RANK, MEMORY = 1 << 13, 8, 200_000
 #: Rounds over the sample, rows of a mini-batch, step size, weight decay.
 EPOCHS, BATCH, STEP, DECAY = 12, 64, 0.05, 1e-4
+#: Parts of the sample for the curve from outputs to probabilities.
+FOLDS = 4
 #: Statistics are clipped at so many standard deviations.
 CLIP = 4.0
 
@@ -116,6 +121,7 @@ class Model:
     v: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK)))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
+    curve: tuple[float, float] = (0.0, 1.0)  # offset and slope from outputs to log-odds
 
     def dense(self, stats) -> np.ndarray:
         z = (np.asarray(stats, float) - self.mean) / self.scale
@@ -124,12 +130,15 @@ class Model:
     def score(self, idx: np.ndarray, value: np.ndarray, stats: list[float]) -> float:
         if self.constant is not None:
             return self.constant
+        x = self.curve[0] + self.curve[1] * self.output(idx, value, stats)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    def output(self, idx: np.ndarray, value: np.ndarray, stats: list[float]) -> float:
         d = self.dense(stats)
         v, u = self.v[idx], self.v[BUCKETS:]
         sums = value @ v + d @ u
         squares = (value**2) @ (v**2) + (d**2) @ (u**2)
-        x = self.bias + value @ self.w[idx] + d @ self.w[BUCKETS:] + 0.5 * float((sums**2 - squares).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x)))))
+        return float(self.bias + value @ self.w[idx] + d @ self.w[BUCKETS:] + 0.5 * float((sums**2 - squares).sum()))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11) -> Model:
@@ -173,6 +182,37 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray,
     return model
 
 
+def _curve(output: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[float, float]:
+    """Offset and slope of the logistic curve of labels over outputs, with targets a little inside 0 and 1."""
+    ones = y.sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    x, a = np.column_stack((np.ones(len(y)), np.clip(output, -30, 30))), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - target) + ridge * a)
+        a -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a[0]), float(a[1])
+
+
+def calibrated(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 5) -> Model:
+    """A machine fitted to all rows, with the curve that outputs for rows unseen ask for."""
+    rng, fold = np.random.default_rng(seed), np.zeros(len(y), int)
+    for c in (0, 1):  # each class in all parts
+        own = np.flatnonzero(y == c)
+        fold[rng.permutation(own)] = np.arange(len(own)) % FOLDS
+    output = np.zeros(len(y))
+    for k in range(FOLDS):
+        part, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(part) and len(rest):
+            machine = train([rows[i] for i in rest], y[rest])
+            output[part] = [machine.output(*rows[i]) for i in part]
+    model = train(rows, y)
+    model.curve = _curve(output, y)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, out: Column, sample: int = 6_000) -> Model:
     """The model learned from ``labels`` (doc_id, quality), rows where ``out`` holds left out."""
 
@@ -209,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, out: Column, sample: int = 6_000) ->
         (np.frombuffer(i, "<i4"), np.frombuffer(x, "<f4").astype(float), np.frombuffer(s, "<f8"))
         for i, x, s in zip(got["idx"], got["value"], got["stats"])
     ]
-    return train(rows, y)
+    return calibrated(rows, y)
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:

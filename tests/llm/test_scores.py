@@ -166,6 +166,31 @@ def test_sum_of_squares_is_the_sum_over_pairs():
     assert m.score(idx, value, stats) == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_quality_query_against_brute_force(spark):
+    """op3_quality beside sums over all pairs of features, and what it refuses with some 300 labels."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    m = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), held_out("doc_id", 4, 2))
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert set(got) == {r["doc_id"] for r in rows}
+    for r in rows[:150]:
+        idx, value, stats = quality.Features().of(r["text"], r["n_chars"])
+        places = np.concatenate((idx, quality.BUCKETS + np.arange(len(quality.STATISTICS))))
+        x = np.concatenate((value, m.dense(stats)))
+        pairs = np.triu((m.v[places] @ m.v[places].T) * np.outer(x, x), 1).sum()
+        z = m.curve[0] + m.curve[1] * (m.bias + m.w[places] @ x + pairs)
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    out = [i for i, y in labels.items() if y is not None and i in got and got[i]["held_out"]]
+    assert np.mean([1 - got[i]["predicted"] for i in out if not labels[i]]) >= 0.85
+    assert np.mean([got[i]["predicted"] for i in out if labels[i]]) >= 0.97
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_nothing_to_learn(spark, corpus, operator):
     docs, labels = corpus
