@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,12 +55,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     in the joins.
     """
     u, v, m = F.col("u"), F.col("v"), F.col("m")
-    now = cut(
+    now, seen = _written(
         edges.where(u != v)
         .select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
         .distinct()
     )
-    seen = _signature(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -75,10 +74,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.when(v == m, u).otherwise(v).alias("u"), m.alias("v"))
             .distinct()
         )
-        new = cut(small)
+        before = seen
+        new, seen = _written(small)
         drop_cut(now)
-        now, before = new, seen
-        seen = _signature(now)
+        now = new
         if seen == before:
             break
     else:
@@ -87,7 +86,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """:func:`cut`, and the number of rows and sums of their hashes, taken by the same job."""
+    h, seen = F.xxhash64("u", "v"), Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")
+    out = cut(edges.observe(seen, *sums))
+    return out, tuple(seen.get[k] for k in ("n", "x", "s"))
