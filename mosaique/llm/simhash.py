@@ -368,13 +368,11 @@ class _Texts:
         found = _candidates(self.distance, False)
         todo = cut(in_unit_batches(hot_units(keyed, ["t", "key"], "node"), ["t", "key"], found, "u long, v long").distinct())
         # one candidate of each text first: where it holds, most others join what is joined already
-        links = cut(self.verified(todo.groupBy("u").agg(F.min("v").alias("v"))))
-        nodes = cut(components(links))
+        nodes = cut(components(cut(self.verified(todo.groupBy("u").agg(F.min("v").alias("v"))))))
         apart = cut(_apart(todo, nodes))
         if apart.isEmpty():
             return nodes
-        links = links.unionByName(cut(self.verified(apart.select("u", "v"))))
-        nodes = cut(components(links))
+        nodes = _joined(nodes, cut(self.verified(apart.select("u", "v"))))
         # what did not hold leaves open whether other pairs of the two components do
         ends = _apart(apart.select("u", "v"), nodes).select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
         named = self.classes.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -384,7 +382,7 @@ class _Texts:
         rest = cut(in_unit_batches(units, ["t", "key"], _candidates(self.distance, True), schema))
         with_sets = rest.join(self.sets(rest.select("node")), "node")
         more = cut(in_units(with_sets, ["t", "key"], _compared(self.similarity), "u long, v long"))
-        return nodes if more.isEmpty() else components(links.unionByName(more))
+        return _joined(nodes, more)
 
 
 def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -395,6 +393,17 @@ def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.where("root_u <> root_v").select("u", "v", "root_u", "root_v")
 
 
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (node, root) where the components that ``links`` (u, v) meet are one."""
+    pairs = _apart(links, nodes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    tops = cut(components(pairs))
+    if tops.isEmpty():
+        return nodes
+    alone = tops.join(nodes, "node", "left_anti").select("node", F.col("node").alias("root"))
+    moved = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(nodes.unionByName(alone).join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def one_of_each(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, miss: float = 1e-3, seed: int = 42
 ) -> DataFrame:
