@@ -20,6 +20,7 @@ from mosaique.operators import rat as tables
 from mosaique.operators import segmentation as sg
 from mosaique.operators import spatial, subset, tiling, zonal
 from mosaique.operators.zonal import Stat
+from mosaique.plans import iterated as it
 from mosaique.operators.graph import shared_dir
 from mosaique.sources import raster
 from mosaique.streaming.completion import OUT, check_complete, completed_segments
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_SLOW: dict[str, str] = {}
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 WIDTH = 100
@@ -49,11 +51,11 @@ OFF4 = "(VALUES (-1, 0), (0, -1), (0, 1), (1, 0)) o(dr, dc)"
 OFF8 = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(dr, dc)"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, slow: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            (_SLOW if slow else _SQL)[f.__name__] = sql
         return f
 
     return add
@@ -67,6 +69,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def slow_sql() -> dict[str, str]:
+    """SQL that takes minutes on all but the smallest tables, for tests."""
+    return dict(_SLOW)
+
+
 def _kind() -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
 
@@ -271,7 +278,7 @@ def centres_json(spark: SparkSession, d: str) -> DataFrame:
     return km.centres_json(km.diagonal_centres(_raster(spark, d), 3))
 
 
-@query()
+@query(f"WITH RECURSIVE {it.lloyd(_diagonal(6))} SELECT * FROM km")
 def kmeans_fixed(spark: SparkSession, d: str) -> DataFrame:
     return km.fit(_raster(spark, d), 6, 100, fixed_init=True)
 
@@ -377,19 +384,24 @@ def relabel(spark: SparkSession, d: str) -> DataFrame:
     return sg.relabel(_zones(spark, d, 3).select("row", "col", "seg_id"))
 
 
-@query()
+_WHOLE = "k0 AS (SELECT 0 AS tile, row, col, kind FROM {})"
+_SEGMENTED = f"{it.clumps('k0', OFF4)}, {it.singles('cl', OFF4)}, {it.smalls('sl', OFF4, 6, '(SELECT d * d FROM lim)')}"
+
+
+@query(f"WITH RECURSIVE {RASTER}, {_WHOLE.format('r')}, {it.clumps('k0', OFF4)}, {it.singles('cl', OFF4)} SELECT row, col, seg_id FROM sl")
 def eliminate_single(spark: SparkSession, d: str) -> DataFrame:
     own = _raster(spark, d)
     return sg.eliminate_single_pixels(sg.clump(own, "kind"), own.drop("kind"))
 
 
-@query()
+@query(f"WITH RECURSIVE {RASTER}, {_WHOLE.format('r')}, {it.clumps('k0', OFF8)}, {it.smalls('cl', OFF8, 6, '6400')} SELECT row, col, seg_id FROM sf", slow=True)
 def eliminate_small(spark: SparkSession, d: str) -> DataFrame:
     own = _raster(spark, d)
     return sg.eliminate_small_segments(sg.clump(own, "kind", False), own.drop("kind"), 6, 80, False)
 
 
-@query()
+@query(f"""WITH RECURSIVE {it.lloyd(_diagonal(8))}, {it.clusters()}, {_WHOLE.format('g')}, {_SEGMENTED}
+SELECT row, col, dense_rank() OVER (ORDER BY seg_id) AS seg_id FROM sf""", slow=True)
 def segment_raster(spark: SparkSession, d: str) -> DataFrame:
     return sg.segment(_raster(spark, d).drop("kind"), 8, 100, 6, fixed_init=True).seg
 

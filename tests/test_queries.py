@@ -4,9 +4,9 @@ from mosaique.plans import catalogue
 from tests.oracle import SF, check
 
 
-@pytest.mark.parametrize("name", catalogue.oracle_sql())
+@pytest.mark.parametrize("name", catalogue.oracle_sql() | catalogue.slow_sql())
 def test_same_rows_as_sql(spark, name):
-    check(spark, catalogue.queries()[name], catalogue.oracle_sql()[name])
+    check(spark, catalogue.queries()[name], (catalogue.oracle_sql() | catalogue.slow_sql())[name])
 
 
 def test_entry(spark):
