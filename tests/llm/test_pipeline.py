@@ -82,3 +82,29 @@ def test_stages_of_nothing(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         rows_of = stage(spark, rows_of, SF)
         assert rows_of.count() == 0
+
+
+def test_stages_take_rows_of_any_kind(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and columns of clashing names."""
+    own = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    long_text = " ".join(f"word{i % 997} of a long text." for i in range(60_000))
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (7, None, None, "web", None), (9001, long_text, "en", "web", None)]
+    odd += [own[0], own[0], (own[1][0], "Another text under an id that is taken.\nA line that three documents share.", None, None, 3)]
+    odd += [(9002 + i, f"A line that three documents share.\nown {i}", "en", "web", None) for i in range(3)] + [(None, own[2][1], "en", "web", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, d string, ck string, node long, words string, score double"
+    docs = spark.createDataFrame([(*r, i % 3, "d", None, 4, "w", 0.5) for i, r in enumerate(own + odd)], schema).repartition(3)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, before, SF).cache()
+        assert after.columns == docs.columns, name
+        n, m = before.count(), after.count()
+        assert 0 < m <= n and (m == n or name != "line_dedup"), name
+        if name != "line_dedup":  # rows pass unchanged
+            assert after.exceptAll(before).count() == 0, name
+        before = after if name != "quality" else docs  # that stage refuses odd texts, which the others are to see
+    texts = [r["text"] for r in before.collect()]
+    roots, _, _ = brute_roots([t if t is None or len(t) < 10**6 else "long" for t in texts])
+    assert len(set(roots)) == len(texts)  # no two of what is left are near copies
+    packed = corpus_pipeline.pack(spark, before, SF).collect()
+    want = sum(len(shared().whole(t or "")) + 1 for t in texts)
+    assert sum(r["length"] for r in packed) == want
