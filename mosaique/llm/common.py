@@ -76,7 +76,7 @@ def _cuts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 
 def in_unit_batches(units: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
-    """As :func:`in_units`, but ``work`` gets many whole units at once, and for each row the end of its unit."""
+    """As :func:`in_units`, but ``work`` gets many whole units at once, by ``node``, and for each row the end of its unit."""
     by = [*keys, "lo", "hi"]
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +100,8 @@ def in_unit_batches(units: DataFrame, keys: list[str], work: Callable, schema: s
         if held is not None and len(held):
             yield from done(held, np.zeros(1, np.int64))
 
-    return units.repartition(*by).sortWithinPartitions(*by).mapInPandas(over, schema)
+    # in the order of nodes, so that units with the same nodes give the same links
+    return units.repartition(*by).sortWithinPartitions(*by, "node").mapInPandas(over, schema)
 
 
 def unit_frames(

@@ -348,14 +348,8 @@ class _Texts:
         self.rows, self.classes, self.similarity, self.distance = rows, classes, similarity, distance
         self.sets_of = _sets(width, seed)
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the distinct ``nodes`` (node)."""
-        own = self.rows.withColumnRenamed("row", "node").join(nodes.distinct(), "node", "left_semi")
-        return own.select("node", self.sets_of("text").alias("shingles"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The ``pairs`` (u, v) whose whole shingle sets are similar."""
-        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The ``pairs`` (u, v) whose whole shingle sets, of ``sets`` (node, shingles), are similar."""
         a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
@@ -367,12 +361,16 @@ class _Texts:
         keyed = self.classes.select("node", "s0", "s1", F.posexplode("keys").alias("t", "key"))
         found = _candidates(self.distance, False)
         todo = cut(in_unit_batches(hot_units(keyed, ["t", "key"], "node"), ["t", "key"], found, "u long, v long").distinct())
+        # texts are dealt out once, for their sets alone, and only where there is a candidate
+        ends = todo.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        own = self.rows.withColumnRenamed("row", "node").join(ends, "node", "left_semi")
+        sets = cut(own.select("node", self.sets_of("text").alias("shingles")))
         # one candidate of each text first: where it holds, most others join what is joined already
-        nodes = cut(components(cut(self.verified(todo.groupBy("u").agg(F.min("v").alias("v"))))))
+        nodes = cut(components(cut(self.verified(todo.groupBy("u").agg(F.min("v").alias("v")), sets))))
         apart = cut(_apart(todo, nodes))
         if apart.isEmpty():
             return nodes
-        nodes = _joined(nodes, cut(self.verified(apart.select("u", "v"))))
+        nodes = _joined(nodes, cut(self.verified(apart.select("u", "v"), sets)))
         # what did not hold leaves open whether other pairs of the two components do
         ends = _apart(apart.select("u", "v"), nodes).select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
         named = self.classes.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -380,8 +378,7 @@ class _Texts:
         units = hot_units(some, ["t", "key"], "node", SMALL)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
         rest = cut(in_unit_batches(units, ["t", "key"], _candidates(self.distance, True), schema))
-        with_sets = rest.join(self.sets(rest.select("node")), "node")
-        more = cut(in_units(with_sets, ["t", "key"], _compared(self.similarity), "u long, v long"))
+        more = cut(in_units(rest.join(sets, "node"), ["t", "key"], _compared(self.similarity), "u long, v long"))
         return _joined(nodes, more)
 
 
