@@ -4,13 +4,13 @@ Within a task the documents' tokens, each document closed by ``end_id``, form
 one stream in stored order. Windows of at most ``size`` tokens cut it. A cut
 costs nothing at a document's end, ``at_sentence`` where a sentence ends inside
 a document and ``inside`` elsewhere (tried every ``STRIDE`` tokens of long
-sentences); a window costs its padding, which is none at a power of two. With
+sentences); a window costs its padding to ``size`` (that a power of two is not
+padded is left out: half windows would save little padding and make more
+sequences). With
 cost(i) for the best way to end a window at cut i, cost(j) = penalty(j) + size -
 pos(j) + min(cost(i) + pos(i)) over the cuts i within ``size`` before j, a
-sliding minimum that a monotone queue gives in constant time a cut, or cost(i)
-alone where the window is ``size`` / 2, / 4 or / 8 long and that is a power of
-two. Of equally good windows the shortest is taken, and one that needs padding
-before one that needs none. The stream is solved in stretches of ``STRETCH``
+sliding minimum that a monotone queue gives in constant time a cut. Of equally
+good windows the shortest is taken. The stream is solved in stretches of ``STRETCH``
 windows; the last ``OVERLAP`` of each are left to the next one.
 
 Rows: null and empty texts are a document of the one token ``end_id``. Repeated
@@ -41,12 +41,6 @@ SCHEMA = (
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """Indexes into ``pos`` (rising, from 0, in steps of ``size`` at most) of the cheapest cuts from the first to the last."""
     p, pen = pos.tolist(), penalty.tolist()
-    unpadded: dict[int, list[int]] = {}  # cuts from which a window needs no padding
-    for n in (size // 2, size // 4, size // 8):
-        if n and n & (n - 1) == 0:
-            at = np.searchsorted(pos, pos - n)
-            for j in np.flatnonzero(pos[at] == pos - n).tolist():
-                unpadded.setdefault(j, []).append(int(at[j]))
     cost, back = [0.0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])  # cuts with rising cost + position
     value = [0.0] * len(p)
@@ -55,12 +49,8 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
         while p[j] - p[queue[0]] > size:
             queue.popleft()
         i = queue[0]
-        least = size - p[j] + value[i]
-        for k in unpadded.get(j, ()):
-            if cost[k] < least:
-                least, i = cost[k], k
         back[j] = i
-        cost[j] = pen[j] + least
+        cost[j] = pen[j] + size - p[j] + value[i]
         v = value[j] = cost[j] + p[j]
         while queue and value[queue[-1]] >= v:
             queue.pop()
