@@ -20,7 +20,10 @@ nothing. Labels are those that the rules give.
 
 The tree is built on distinct (host, path shape) rows with their counts, added
 up before they are dealt out, so a host with a third of all pages is no more
-than its distinct shapes, and no group is collected.
+than its distinct shapes, and no group is collected but that of siblings after
+the rare ones are ``*``: ``max_children`` or 1 + 1 / ``min_share`` at most.
+Plans are short and cut, for the driver plans them anew at each of their stages;
+levels above the first crowded node are not rewritten.
 
 Rows: a null url or one without ``://`` has an empty host and path. Urls of any
 length keep their whole path. Of siblings that become one branch the first in
@@ -33,7 +36,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaique.llm.common import cut, drop_cut
@@ -84,20 +87,27 @@ def _put(segs: Column, place: int, new: Column) -> Column:
     return F.transform(segs, lambda x, i: F.when(i == place, new).otherwise(x))
 
 
-def _step(nodes: DataFrame, old: DataFrame | None) -> DataFrame:
+def _step(nodes: DataFrame, old: DataFrame) -> DataFrame:
     new = cut(nodes)
-    if old is not None:
-        drop_cut(old)
+    drop_cut(old)
     return new
 
 
-def _generalised(shapes: DataFrame, max_children: int, min_share: float, depth: int) -> DataFrame:
-    """``segs`` of (host, shape, segs, n, ..) with the rare of many siblings as ``*``, level by level."""
-    now = _step(shapes, None)
-    for d in range(depth + 1):
+def _crowded(shapes: DataFrame, max_children: int) -> int | None:
+    """The first level at which a node has more than ``max_children`` children, or None."""
+    at = shapes.select("host", "segs", F.posexplode("segs").alias("level", "seg"))
+    node = ["host", "level", F.slice("segs", F.lit(1), F.col("level")).alias("parent")]
+    children = at.select(*node, "seg").distinct()
+    kinds = children.groupBy("host", "level", "parent").agg(F.count("*").alias("kinds"))
+    return kinds.where(F.col("kinds") > max_children).agg(F.min("level")).first()[0]
+
+
+def _generalised(shapes: DataFrame, max_children: int, min_share: float, deepest: int) -> DataFrame:
+    """``segs`` of (host, shape, segs, n, ..), a :func:`cut`, with the rare of many siblings as ``*``, level by level."""
+    now, least = shapes, _crowded(shapes, max_children)
+    # a name put for others makes siblings of what lies below them, never of what lies above
+    for d in range(deepest if least is None else least, deepest):
         here = now.where(F.size("segs") > d)
-        if here.isEmpty():
-            break
         node = [F.col("host"), F.slice("segs", 1, d).alias("parent")]
         children = here.groupBy(*node, F.col("segs")[d].alias("seg")).agg(F.sum("n").alias("own"))
         crowded = (
@@ -117,7 +127,7 @@ def _generalised(shapes: DataFrame, max_children: int, min_share: float, depth:
 
 
 def _merged(shapes: DataFrame, deepest: int) -> DataFrame:
-    """``segs`` with like siblings under one name, from the leaves up."""
+    """``segs`` of a :func:`cut` with like siblings under one name, from the leaves up."""
     now = shapes
     for d in range(deepest - 1, -1, -1):
         here = now.where(F.size("segs") > d)
@@ -133,15 +143,16 @@ def _merged(shapes: DataFrame, deepest: int) -> DataFrame:
             F.sum("labelled").alias("labelled"),
             F.sum("blocked").alias("blocked"),
         )
-        siblings = like.groupBy("host", "parent").agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("usual"))
+        siblings = Window.partitionBy("host", "parent")
+        usual = F.sum("blocked").over(siblings) / F.nullif(F.sum("labelled").over(siblings), F.lit(0))
         share = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(F.coalesce("usual", F.lit(0.0)))
-        like = like.join(siblings, ["host", "parent"])
         # arcsine makes a share's standard error 1 / (2 sqrt n), whatever the share
         width = F.round(F.least(F.lit(STEP), F.greatest(F.lit(0.05), 1 / F.sqrt("n"))), 2)
-        like = like.withColumn("rate", F.round(F.asin(F.sqrt(share)) / width) * width)
-        groups = like.groupBy("host", "parent", "form", "rate").agg(F.min("seg").alias("first"), F.count("*").alias("k"))
+        like = like.withColumn("usual", usual).withColumn("rate", F.round(F.asin(F.sqrt(share)) / width) * width)
+        group = Window.partitionBy("host", "parent", "form", "rate")
         names = (
-            like.join(groups.where("k > 1"), ["host", "parent", "form", "rate"])
+            like.select("host", "parent", "seg", F.min("seg").over(group).alias("first"), F.count("*").over(group).alias("k"))
+            .where("k > 1")
             .select("host", "parent", "seg", F.concat(F.lit("("), "first", F.lit("|+"), F.col("k") - 1, F.lit(")")).alias("name"))
         )
         told = now.withColumns({"parent": F.slice("segs", 1, d), "seg": F.get("segs", F.lit(d))})
@@ -180,7 +191,7 @@ def templates(
     pages: DataFrame, max_children: int = 16, min_share: float = 0.02, weight: float = 4.0, purity: float = 0.5, depth: int = 8
 ) -> DataFrame:
     """(host, shape, template, purity) of ``pages`` (host, path, label: 1 blocked, 0 allowed, null)."""
-    shapes = (
+    now = cut(
         pages.groupBy("host", shape_of(F.col("path"), depth).alias("shape"))
         .agg(
             F.count("*").alias("n"),
@@ -189,20 +200,20 @@ def templates(
         )
         .withColumn("segs", F.col("shape"))
     )
-    now = _generalised(shapes, max_children, min_share, depth)
-    sums = now.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("blocked")).first()
-    now = _merged(now, sums[0] or 0)
-    prior = min((sums[2] or 0) / max(1, sums[1] or 0), math.nextafter(purity, 0))
+    deepest, labelled, blocked = now.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("blocked")).first()
+    now = _merged(_generalised(now, max_children, min_share, deepest or 0), deepest or 0)
+    prior = min((blocked or 0) / max(1, labelled or 0), math.nextafter(purity, 0))
     counts = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    hosts = now.groupBy("host").agg(*counts)
-    hosts = _backed_off(hosts, ["host"], _domains(F.col("host")), F.lit(prior), weight)
+    hosts = cut(_backed_off(now.groupBy("host").agg(*counts), ["host"], _domains(F.col("host")), F.lit(prior), weight))
     own = now.groupBy("host", "segs").agg(*counts).join(hosts, "host")
     branches = F.transform(F.sequence(F.lit(1), F.size("segs")), lambda k: F.slice("segs", F.lit(1), k))
     branches = F.when(F.size("segs") > 0, branches)
     pure = _backed_off(own, ["host", "segs"], branches, F.col("pure"), weight)
-    return now.join(pure, ["host", "segs"]).select(
-        "host", "shape", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), F.col("pure").alias("purity")
-    )
+    template = F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template")
+    out = cut(now.join(pure, ["host", "segs"]).select("host", "shape", template, F.col("pure").alias("purity")))
+    drop_cut(now)
+    drop_cut(hosts)
+    return out
 
 
 def judge(

@@ -377,6 +377,19 @@ def test_labels_reach_pages_without_a_rule(spark):
     assert purity["a.bad.com"] > 0.8 and purity["good.com"] < 0.2 and 0.3 < purity["mixed.com"] < 0.7
 
 
+def test_op7_starts_few_jobs(spark):
+    """Each job and each stage's new plan costs the driver memory; nodes with few children need none to rewrite them."""
+    urls = [f"http://{h}.com/{a}/{b}/{i}" for i, (h, a, b) in enumerate((h, a, b) for h in "pq" for a in "xyz" for b in "uv")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    spark.sparkContext.setJobGroup("op7-jobs", "op7")
+    try:
+        rows = url_templates.judge(df, RULES).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["page_id"] for r in rows) == list(range(12))
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("op7-jobs")) <= 50
+
+
 # Packing
 
 
