@@ -90,3 +90,28 @@ def test_user_function_is_not_called_without_points(spark):
     valued = spark.createDataFrame([(1, 0, 0, 3), (1, 0, 1, None), (2, 1, 0, None)], "seg_id bigint, row int, col int, b1 bigint")
     out = spatial.spatial_stats(valued, [("n", "int"), ("m", "float")], lambda pts, p: (len(pts), pts["val"].mean() + p), 1)
     assert {r["seg_id"]: (r["n"], r["m"]) for r in out.collect()} == {1: (1, 4.0), 2: (-9999, -9999.0)}
+
+
+def test_user_functions_by_name_take_many_segments_at_once(spark):
+    """The forms for many segments give what the functions give one by one, and segments may span Arrow batches."""
+    rng = np.random.default_rng(7)
+    seg = rng.integers(1, 6, (12, 10)) + 5 * (np.arange(12)[:, None] // 6)
+    img = pixels(spark, np.where(rng.random((12, 10)) < 0.1, -1, rng.integers(0, 99, (12, 10))), null=-1)
+    valued = img.join(segments(spark, seg), ["row", "col"])
+    gt = [10.0, 3.0, 0.5, 7.0, 0.25, -3.0]
+    cases = [("variogram", 3, "float", 3)]
+    for name, param, kind, n in cases:
+        assert name in spatial.BATCHED
+        columns = [(f"v{i}", kind) for i in range(n)]
+        one = lambda pts, p, f=spatial.REGISTRY[name]: f(pts, p)
+        want = {tuple(r) for r in spatial.spatial_stats(valued, columns, one, param).collect()}
+        for rows in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            try:
+                assert {tuple(r) for r in spatial.spatial_stats(valued, columns, name, param).collect()} == want
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = "seg_id bigint, row int, col int, b1 bigint"
+    none = spark.createDataFrame([(3, 0, 0, None), (4, 0, 1, None), (4, 1, 1, 5)], frame)
+    assert {tuple(r) for r in spatial.spatial_stats(none, [("n", "int")], "num_edge_pixels", True).collect()} == {(3, -9999), (4, 1)}
+    assert spatial.spatial_stats(none.where("seg_id > 9"), [("n", "int")], "num_edge_pixels", True).count() == 0
