@@ -116,6 +116,15 @@ def _found(place: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, place[np.minimum(at, len(place) - 1)] == wanted
 
 
+@batched("num_edge_pixels")
+def nums_edge_pixels(pts: pd.DataFrame, four_connected: bool) -> list[np.ndarray]:
+    pts, place, width = _places(pts, 1)
+    whole = np.ones(len(place), bool)
+    for dr, dc in offsets(four_connected):
+        whole &= _found(place, place + dr * width + dc)[1]
+    return [np.bincount(pts["s"].to_numpy()[~whole], minlength=pts["s"].iloc[-1] + 1)]
+
+
 @batched("variogram")
 def variograms(pts: pd.DataFrame, max_dist: int) -> list[np.ndarray]:
     pts, place, width = _places(pts, max_dist)
