@@ -116,6 +116,13 @@ def _found(place: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, place[np.minimum(at, len(place) - 1)] == wanted
 
 
+@batched("mean_coord")
+def mean_coords(pts: pd.DataFrame, gt: list[float]) -> list[np.ndarray]:
+    s, x, y = pts["s"].to_numpy(), pts["x"].to_numpy(float), pts["y"].to_numpy(float)
+    n = np.bincount(s)
+    return [np.bincount(s, g[0] + g[1] * x + g[2] * y) / n for g in (gt[:3], gt[3:6])]
+
+
 @batched("num_edge_pixels")
 def nums_edge_pixels(pts: pd.DataFrame, four_connected: bool) -> list[np.ndarray]:
     pts, place, width = _places(pts, 1)

@@ -99,7 +99,7 @@ def test_user_functions_by_name_take_many_segments_at_once(spark):
     img = pixels(spark, np.where(rng.random((12, 10)) < 0.1, -1, rng.integers(0, 99, (12, 10))), null=-1)
     valued = img.join(segments(spark, seg), ["row", "col"])
     gt = [10.0, 3.0, 0.5, 7.0, 0.25, -3.0]
-    cases = [("num_edge_pixels", False, "int", 1), ("num_edge_pixels", True, "int", 1), ("variogram", 3, "float", 3)]
+    cases = [("mean_coord", gt, "float", 2), ("num_edge_pixels", False, "int", 1), ("num_edge_pixels", True, "int", 1), ("variogram", 3, "float", 3)]
     for name, param, kind, n in cases:
         assert name in spatial.BATCHED
         columns = [(f"v{i}", kind) for i in range(n)]
