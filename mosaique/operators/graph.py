@@ -38,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_wide(df: DataFrame) -> DataFrame:
+    """:func:`cut` of a table that grows with the raster: its joins shuffle and sort.
+
+    Spark goes by the size of files, which compress; what it would broadcast for that can exceed the driver's memory.
+    """
+    out = cut(df)
+    wide = out.hint("merge")
+    wide._cut_path = out._cut_path  # type: ignore[attr-defined]
+    return wide
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut` that nothing will read again."""
     path = getattr(df, "_cut_path", None)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaique.operators import cluster as km
-from mosaique.operators.graph import components, cut, drop_cut
+from mosaique.operators.graph import components, cut, cut_wide, drop_cut
 from mosaique.operators.neighbours import adjacent_segments, offsets, squared_distance
 from mosaique.operators.zonal import segment_sizes, spectral_sums
 from mosaique.sources.raster import bands_of
@@ -72,13 +72,13 @@ def clump(pixels: DataFrame, value: str = "cluster_id", four_connected: bool = T
     """
     own = pixels.select("row", "col", F.col(value).alias("v"))
     own = own.withColumn("at", (F.col("row").cast("bigint") * F.lit(1 << 31)) + F.col("col"))
-    runs = cut(_with_runs(own.where("v IS NOT NULL AND v <> 0")))
+    runs = cut_wide(_with_runs(own.where("v IS NOT NULL AND v <> 0")))
     roots = components(_run_links(runs, four_connected))
     rooted = runs.join(roots, runs["run"] == roots["node"], "left").select(
         "row", "col", F.coalesce("root", "run").alias("root")
     )
     ids = dense_ids(rooted, "root", "seg_id")
-    found = rooted.join(ids, "root").select("row", "col", (F.col("seg_id") + first_id - 1).alias("seg_id"))
+    found = rooted.join(ids.hint("merge"), "root").select("row", "col", (F.col("seg_id") + first_id - 1).alias("seg_id"))
     rest = own.where("v IS NULL OR v = 0").select("row", "col", F.lit(0).cast("bigint").alias("seg_id"))
     return found.unionByName(rest)
 
@@ -86,7 +86,7 @@ def clump(pixels: DataFrame, value: str = "cluster_id", four_connected: bool = T
 def relabel(seg: DataFrame, first_id: int = 1) -> DataFrame:
     """Ids without gaps, in the same order; 0 stays."""
     ids = dense_ids(seg.where("seg_id <> 0"), "seg_id", "_new")
-    return seg.join(ids, "seg_id", "left").withColumn(
+    return seg.join(ids.hint("merge"), "seg_id", "left").withColumn(
         "seg_id", F.coalesce(F.col("_new") + first_id - 1, F.lit(0)).cast("bigint")
     ).drop("_new")
 

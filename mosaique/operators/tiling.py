@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mosaique.operators import cluster as km
 from mosaique.operators import kernel
-from mosaique.operators.graph import cut, drop_cut
+from mosaique.operators.graph import cut, cut_wide, drop_cut
 from mosaique.operators.segmentation import Segmentation, dense_ids
 from mosaique.sources.raster import RasterError, bands_of
 
@@ -173,14 +173,14 @@ def stitch(tile_seg: DataFrame, tiles: DataFrame, overlap: int, simple: bool = F
     if simple:
         roots = kept.where("local_id <> 0").select(_key())
         ids = dense_ids(roots, "key", "seg_id")
-        named = kept.withColumn("key", _key()).join(ids, "key", "left")
+        named = kept.withColumn("key", _key()).join(ids.hint("merge"), "key", "left")
         return named.select("row", "col", F.coalesce("seg_id", F.lit(0)).cast("bigint").alias("seg_id"))
     links = overlap_links(tile_seg, tiles, overlap)
     start = links.select(_key(), F.struct(F.col("to_trow").alias("trow"), F.col("to_tcol").alias("tcol"), F.col("to_id").alias("local_id")).alias("to"))
-    now = cut(start)
+    now = cut_wide(start)
     while True:
         step = now.select(F.col("key").alias("to"), F.col("to").alias("next"))
-        new = cut(now.join(step, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        new = cut_wide(now.join(step, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         moved = new.where("moved").limit(1).count()
         drop_cut(now)
         path = getattr(new, "_cut_path", None)
@@ -191,9 +191,9 @@ def stitch(tile_seg: DataFrame, tiles: DataFrame, overlap: int, simple: bool = F
     every = kept.where("local_id <> 0").select("tcol", "trow", "local_id").distinct()
     rooted = every.withColumn("key", _key()).join(now, "key", "left").withColumn("root", F.coalesce("to", "key"))
     owned = box_owners(tile_seg, tiles).where("owned").select(_key().alias("root"))
-    ids = dense_ids(owned.join(rooted.select("root").distinct(), "root", "left_semi"), "root", "seg_id")
-    named = rooted.join(ids, "root", "left").select("tcol", "trow", "local_id", "seg_id")
-    return kept.join(named, ["tcol", "trow", "local_id"], "left").select(
+    ids = dense_ids(owned.join(rooted.select("root").distinct().hint("merge"), "root", "left_semi"), "root", "seg_id")
+    named = rooted.join(ids.hint("merge"), "root", "left").select("tcol", "trow", "local_id", "seg_id")
+    return kept.join(named.hint("merge"), ["tcol", "trow", "local_id"], "left").select(
         "row", "col", F.coalesce("seg_id", F.lit(0)).cast("bigint").alias("seg_id")
     )
 
@@ -214,7 +214,7 @@ def segment_tiled(
         centres = km.fit(pixels, clusters, percent, fixed_init)
     limit = km.max_difference(centres, max_diff, percentile)
     rows = km.centre_rows(centres)
-    tiled = cut(segment_tiles(pixels, xsize, ysize, rows, min_size, limit, four_connected, tile, overlap))
+    tiled = cut_wide(segment_tiles(pixels, xsize, ysize, rows, min_size, limit, four_connected, tile, overlap))
     tiles = tile_table(pixels.sparkSession, xsize, ysize, tile, overlap)
     return Segmentation(cut(stitch(tiled, tiles, overlap, simple)), centres, limit)
 

@@ -113,3 +113,14 @@ def test_store(spark, tmp_path):
 def test_dense_ids(spark):
     df = spark.createDataFrame([(x,) for x in (7, 3, 3, 11)], "k bigint")
     assert {r["k"]: r["i"] for r in sg.dense_ids(df, "k", "i").collect()} == {3: 1, 7: 2, 11: 3}
+
+
+def test_only_the_tiles_are_broadcast(spark):
+    """Tables that grow with the raster are shuffled, however small their files are."""
+    rows = [(i, j, r, c, 1 + i + 2 * j + r % 2) for i, j, x, y, w, h in tiling.grid(20, 20, 8, 4) for r in range(y, y + h) for c in range(x, x + w)]
+    seg = spark.createDataFrame(rows, "tcol int, trow int, row int, col int, local_id bigint")
+    tiles = tiling.tile_table(spark, 20, 20, 8, 4)
+    plan = tiling.stitch(seg, tiles, 4)._jdf.queryExecution().executedPlan().toString()
+    kinds = [(x.split("BroadcastHashJoin [")[1] if "BroadcastHashJoin" in x else "").split("]")[0] for x in plan.splitlines()]
+    assert not [x for x in kinds if "local_id" in x or "key" in x or "root" in x]
+    assert plan.count("SortMergeJoin") >= 3  # the chains' ends, their numbers and the pixels
