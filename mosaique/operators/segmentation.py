@@ -127,17 +127,56 @@ def merge_single_pixels(seg: DataFrame, pixels: DataFrame, four_connected: bool
 
 
 def eliminate_single_pixels(seg: DataFrame, pixels: DataFrame, four_connected: bool = True) -> DataFrame:
-    """Rounds until no single pixel merges; ids are not renumbered."""
-    now = cut(seg.select("row", "col", "seg_id"))
-    left = segment_sizes(now).where("n = 1").count()
-    while left:
-        new = cut(merge_single_pixels(now, pixels, four_connected))
-        drop_cut(now)
-        now, before = new, left
-        left = segment_sizes(now).where("n = 1").count()
-        if left == before:
+    """Rounds until no single pixel merges; ids are not renumbered.
+
+    Only single pixels move. After the first round those are left that touch
+    singles alone, and what a round lets them join is what moved in the one before.
+    """
+    bands = bands_of(pixels)
+    now = cut_wide(seg.select("row", "col", "seg_id"))
+    own = now.where("seg_id <> 0")
+    places = own.groupBy("seg_id").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("col").alias("col"))
+    alone = places.where("n = 1").select("row", "col", F.lit(True).alias("alone")).hint("merge")
+    known = own.join(pixels.select("row", "col", *bands), ["row", "col"]).join(alone, ["row", "col"], "left")
+    known = cut_wide(known.withColumn("alone", F.coalesce("alone", F.lit(False))))
+    other = known.select(*[F.col(c).alias(f"n_{c}") for c in known.columns])
+    d2 = squared_distance([F.col(b) for b in bands], [F.col(f"n_{b}") for b in bands]).alias("d2")
+    steps = neighbour_steps(known.where("alone").select("row", "col", *bands), four_connected)
+    best = F.min(F.when(~F.col("n_alone"), F.struct(d2, "n_row", "n_col", "n_seg_id"))).alias("best")
+    found = steps.join(other, ["n_row", "n_col"]).groupBy("row", "col").agg(best, *[F.min(b).alias(b) for b in bands])
+    first = cut_wide(found.select("row", "col", F.col("best.n_seg_id").alias("target"), *bands))
+    steps = neighbour_steps(first.where("target IS NULL").drop("target"), four_connected)
+    pairs = steps.join(other.where("n_alone"), ["n_row", "n_col"]).select("row", "col", "n_row", "n_col", d2)
+    pairs = cut_wide(pairs)
+    moved = [first.where("target IS NOT NULL").select("row", "col", "target")]
+    kept = [now, known, first]
+    while True:
+        last = moved[-1].select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), "target")
+        best = F.min(F.struct("d2", "n_row", "n_col", "target")).alias("best")
+        new = pairs.join(last, ["n_row", "n_col"]).groupBy("row", "col").agg(best)
+        new = cut_wide(new.select("row", "col", F.col("best.target").alias("target")))
+        kept.append(new)
+        if not new.limit(1).count():
             break
-    return now
+        rest = cut_wide(pairs.join(new.select("row", "col"), ["row", "col"], "left_anti"))
+        drop_cut(pairs)
+        pairs = rest
+        if len(moved) > 16:  # short plans in long chains of singles; the last round stays apart
+            moved = [cut_wide(_union(moved))]
+            kept.append(moved[0])
+        moved.append(new)
+    out = now.join(_union(moved).hint("merge"), ["row", "col"], "left")
+    out = cut_wide(out.select("row", "col", F.coalesce("target", "seg_id").alias("seg_id")))
+    for x in [*kept, pairs]:
+        drop_cut(x)
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def merge_targets(nodes: DataFrame, edges: DataFrame, size: int, max_diff: float) -> DataFrame:
@@ -250,7 +289,7 @@ def segment(
     if centres is None:
         centres = km.fit(pixels, clusters, sample_percent, fixed_init)
     limit = km.max_difference(centres, max_diff, percentile)
-    seg = cut(clump(km.assign(pixels, centres), "cluster_id", four_connected))
+    seg = clump(km.assign(pixels, centres), "cluster_id", four_connected)
     seg = eliminate_single_pixels(seg, pixels, four_connected)
-    seg = cut(eliminate_small_segments(seg, pixels, min_size, limit, four_connected))
+    seg = cut_wide(eliminate_small_segments(seg, pixels, min_size, limit, four_connected))
     return Segmentation(cut(relabel(seg)), centres, limit)

@@ -115,3 +115,29 @@ def test_user_functions_by_name_take_many_segments_at_once(spark):
     none = spark.createDataFrame([(3, 0, 0, None), (4, 0, 1, None), (4, 1, 1, 5)], frame)
     assert {tuple(r) for r in spatial.spatial_stats(none, [("n", "int")], "num_edge_pixels", True).collect()} == {(3, -9999), (4, 1)}
     assert spatial.spatial_stats(none.where("seg_id > 9"), [("n", "int")], "num_edge_pixels", True).count() == 0
+
+
+def _rows_written(monkeypatch, spark):
+    """A list that gets the number of rows of each table written between steps."""
+    from mosaique.operators import graph
+
+    rows, write = [], graph.cut
+
+    def counted(df):
+        out = write(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(sg, "cut", counted)
+    return rows
+
+
+def test_rounds_of_single_pixels_do_not_rewrite_the_raster(spark, monkeypatch):
+    grid = np.ones((12, 30), np.int64)
+    grid[1], grid[0] = 0, np.arange(2, 32)
+    grid[0, 26:] = 99  # singles 2..27 in a chain, each joined in a round of its own
+    rows = _rows_written(monkeypatch, spark)
+    out = array(sg.eliminate_single_pixels(segments(spark, grid), pixels(spark, np.arange(360).reshape(12, 30))))
+    assert (out[0] == 99).all() and (out[1] == 0).all() and (out[2:] == 1).all()
+    assert sum(rows) < 6 * grid.size  # was 27 rasters
