@@ -43,7 +43,8 @@ def adjacent_segments(seg: DataFrame, four_connected: bool = True) -> DataFrame:
     own = seg.where("seg_id <> 0").select("row", "col", "seg_id")
     pairs = neighbour_pairs(own, four_connected, forward=True).where("seg_id <> n_seg_id")
     pairs = pairs.select(F.least("seg_id", "n_seg_id").alias("a"), F.greatest("seg_id", "n_seg_id").alias("b")).distinct()
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # both directions from one reading of the pairs
+    return pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
 def edge_pixel_counts(valid: DataFrame, four_connected: bool = True) -> DataFrame:

@@ -22,6 +22,9 @@ from mosaique.sources.raster import bands_of
 #: Merge passes over the segments of one size at most.
 PASSES = 10
 
+#: So many moves of a pass at most are broadcast to the pairs; more are joined by shuffle.
+FEW = 20_000
+
 
 def dense_ids(keys: DataFrame, key: str, out: str) -> DataFrame:
     """(key, out): 1.. in the order of distinct keys, without ordering them all in one task.
@@ -218,10 +221,17 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> tupl
 def eliminate_small_segments(
     seg: DataFrame, pixels: DataFrame, min_size: int, max_diff: float, four_connected: bool = True
 ) -> DataFrame:
-    """Merge segments below ``min_size``, the smallest first; sizes that do not occur cost nothing."""
+    """Merge segments below ``min_size``, the smallest first; sizes that do not occur cost nothing.
+
+    The edges of small segments are written once, with the ids that segments began with. A size takes its own
+    edges from them, by what has become of both ends. What stays after a pass had no target near enough, so the
+    next one looks only at pairs whose other end has grown or moved.
+    """
     bands = bands_of(pixels)
-    nodes = cut(spectral_sums(seg.join(pixels, ["row", "col"]), bands))
-    edges = cut(adjacent_segments(seg, four_connected))
+    own = cut_wide(seg.select("row", "col", "seg_id"))
+    nodes = cut_wide(spectral_sums(own.join(pixels.select("row", "col", *bands), ["row", "col"]), bands))
+    small = nodes.where(F.col("n") < min_size).select(F.col("seg_id").alias("a"))
+    edges = cut_wide(adjacent_segments(own, four_connected).join(small, "a", "left_semi"))
     mapping: DataFrame | None = None
     done = 0
     while True:
@@ -230,35 +240,108 @@ def eliminate_small_segments(
             break
         size = min(sizes)
         left = sizes[size]
-        for _ in range(PASSES):
-            targets = cut(merge_targets(nodes, edges, size, max_diff))
-            n = targets.count()
-            if n:
-                nodes, edges, mapping = _advance(nodes, edges, mapping, targets)
-            drop_cut(targets)
+        standing = [cut(_pairs(nodes, mapping, edges, size))]
+        merged: list[DataFrame] = []
+        for i in range(PASSES):
+            moves = cut_wide(_moves(standing[-1], size, max_diff))
+            n = moves.count()
+            if not n:
+                drop_cut(moves)
+                break
+            merged.append(moves)
             left -= n
-            if not n or not left:
+            if not left or i == PASSES - 1:
                 break
+            standing.append(cut(_changed_pairs(standing, merged, size, n <= FEW)))
+        for x in standing:
+            drop_cut(x)
+        if merged:
+            nodes, mapping = _settled(nodes, mapping, merged, size)
         done = size
+    drop_cut(edges)
+    drop_cut(nodes)
     if mapping is None:
-        return seg
-    out = seg.join(mapping.withColumnRenamed("old", "seg_id"), "seg_id", "left")
+        return own
+    out = own.join(mapping.withColumnRenamed("old", "seg_id"), "seg_id", "left")
     return out.select("row", "col", F.coalesce("new", "seg_id").alias("seg_id"))
 
 
-def _advance(nodes, edges, mapping, targets):
-    new_nodes, new_edges = (cut(x) for x in apply_merges(nodes, edges, targets))
-    step = targets.select(F.col("seg_id").alias("old"), F.col("target").alias("new"))
-    if mapping is None:
-        new_mapping = cut(step)
-    else:
-        later = step.select(F.col("old").alias("new"), F.col("new").alias("now"))
-        moved = mapping.join(later, "new", "left").select("old", F.coalesce("now", "new").alias("new"))
-        new_mapping = cut(moved.unionByName(step))
-        drop_cut(mapping)
-    drop_cut(nodes)
-    drop_cut(edges)
-    return new_nodes, new_edges, new_mapping
+def _sums(df: DataFrame, prefix: str = "s") -> list[str]:
+    return [c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
+
+
+def _pairs(nodes: DataFrame, mapping: DataFrame | None, edges: DataFrame, size: int) -> DataFrame:
+    """(seg_id, s1.., other, o_n, o_s1..): segments of ``size`` pixels with those they touch, as they are now.
+
+    Smaller ones are left out: they neither merge any more nor are joined.
+    """
+    sums = _sums(nodes)
+    ids = nodes.where(F.col("n") >= size).select(F.col("seg_id").alias("id"), *nodes.columns)
+    if mapping is not None:
+        became = mapping.select(F.col("old").alias("id"), F.col("new").alias("seg_id"))
+        ids = ids.unionByName(became.join(nodes.where(F.col("n") >= size), "seg_id").select(*ids.columns))
+    ends = ids.where(F.col("n") == size).select(F.col("id").alias("a"), "seg_id", *sums)
+    others = ids.select(
+        F.col("id").alias("b"), F.col("seg_id").alias("other"), F.col("n").alias("o_n"), *[F.col(c).alias(f"o_{c}") for c in sums]
+    )
+    both = edges.join(ends.hint("merge"), "a").join(others.hint("merge"), "b").where("seg_id <> other")
+    return both.drop("a", "b")
+
+
+def _moves(pairs: DataFrame, size: int, max_diff: float) -> DataFrame:
+    """(seg_id, s1.., target, o_n, o_s1..): what :func:`merge_targets` finds, with the target as it was."""
+    sums, theirs = _sums(pairs), _sums(pairs, "o_s")
+    mean = [F.col(c) / F.lit(size) for c in sums]
+    d2 = squared_distance(mean, [F.col(c) / F.col("o_n") for c in theirs])
+    near = pairs.where(F.col("o_n") > size).withColumn("d2", d2).where(F.col("d2") <= F.lit(max_diff * max_diff))
+    best = near.groupBy("seg_id").agg(
+        F.min(F.struct("d2", "other", "o_n", *theirs)).alias("best"), *[F.min(c).alias(c) for c in sums]
+    )
+    return best.select("seg_id", *sums, F.col("best.other").alias("target"), "best.o_n", *[f"best.{c}" for c in theirs])
+
+
+def _changed_pairs(standing: list[DataFrame], merged: list[DataFrame], size: int, few: bool) -> DataFrame:
+    """Pairs of the segments that stay, of which the last moves have changed the other end.
+
+    ``standing`` has the pairs at first and those of each pass; a pair may be there as it was and as it became.
+    """
+    moves = merged[-1]
+    sums, theirs = _sums(moves), _sums(moves, "o_s")
+    grown = moves.groupBy("target").agg(
+        (F.min("o_n") + F.count("*") * size).alias("g_n"),
+        *[(F.min(t) + F.sum(c)).cast("bigint").alias(f"g_{c}") for c, t in zip(sums, theirs)],
+    )
+    named = moves.select(F.col("seg_id").alias("other"), "target")
+    named = named.unionByName(grown.select(F.col("target").alias("other"), "target"))
+    news = named.join(grown.hint("merge"), "target")
+    news = F.broadcast(news) if few else news.hint("merge")  # at most 2 * FEW rows
+    gone = _union([m.select("seg_id") for m in merged]).hint("merge")
+    pairs = _union([x.select("seg_id", *sums, "other") for x in standing]).join(news, "other")
+    return pairs.join(gone, "seg_id", "left_anti").select(
+        "seg_id", *sums, F.col("target").alias("other"), F.col("g_n").alias("o_n"),
+        *[F.col(f"g_{c}").alias(t) for c, t in zip(sums, theirs)],
+    ).distinct()
+
+
+def _settled(nodes: DataFrame, mapping: DataFrame | None, merged: list[DataFrame], size: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and mapping (old, new) after the moves of one size; what a move joins does not move itself."""
+    sums = _sums(nodes)
+    moves = _union([m.select("seg_id", "target", *sums) for m in merged])
+    gains = moves.groupBy(F.col("target").alias("seg_id")).agg(
+        (F.count("*") * size).alias("g_n"), *[F.sum(c).cast("bigint").alias(f"g_{c}") for c in sums]
+    )
+    stay = nodes.join(moves.select("seg_id").hint("merge"), "seg_id", "left_anti").join(gains.hint("merge"), "seg_id", "left")
+    after = [(F.col(c) + F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in ("n", *sums)]
+    new_nodes = cut_wide(stay.select("seg_id", *after))
+    step = moves.select(F.col("seg_id").alias("old"), F.col("target").alias("new"))
+    if mapping is not None:
+        later = step.select(F.col("old").alias("new"), F.col("new").alias("now")).hint("merge")
+        step = step.unionByName(mapping.join(later, "new", "left").select("old", F.coalesce("now", "new").alias("new")))
+    new_mapping = cut_wide(step)
+    for x in (nodes, mapping, *merged):
+        if x is not None:
+            drop_cut(x)
+    return new_nodes, new_mapping
 
 
 @dataclass

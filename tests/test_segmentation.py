@@ -141,3 +141,19 @@ def test_rounds_of_single_pixels_do_not_rewrite_the_raster(spark, monkeypatch):
     out = array(sg.eliminate_single_pixels(segments(spark, grid), pixels(spark, np.arange(360).reshape(12, 30))))
     assert (out[0] == 99).all() and (out[1] == 0).all() and (out[2:] == 1).all()
     assert sum(rows) < 6 * grid.size  # was 27 rasters
+
+
+def test_passes_of_small_segments_do_not_rewrite_the_graph(spark, monkeypatch):
+    # a chain of single segments, one of which can merge in each pass, beside two hundred large ones
+    grid = np.repeat(np.repeat(np.arange(100, 300).reshape(8, 25), 3, 0), 3, 1)
+    grid[0, :6] = [1, 2, 3, 4, 5, 6]
+    value = np.full(grid.shape, 50)
+    value[0, :6] = 0
+    value[:3, 6:9] = 0
+    value[1] = np.where(np.arange(grid.shape[1]) < 6, 900, value[1])
+    rows = _rows_written(monkeypatch, spark)
+    seg, img = segments(spark, grid), pixels(spark, value)
+    got = array(sg.eliminate_small_segments(seg, img, 2, 30))
+    want = kernel.merge_small(grid, value[None], 2, 30)
+    assert got.tolist() == want.tolist() and (got[0, :6] == 102).all()
+    assert sum(rows) < 2 * grid.size
